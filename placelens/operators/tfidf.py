@@ -16,17 +16,16 @@ SLICES = 4096
 
 
 def boundary_bigrams(
-    tokens: DataFrame, entity: str = "Town", slices: int = SLICES
+    tokens: DataFrame, limits: DataFrame, entity: str = "Town", slices: int = SLICES
 ) -> DataFrame:
     """Bigrams of the last word of a review and the first word of the entity's next review
     that has words.
 
     ``tokens`` has (entity, row_id, first_word, last_word), one narrow row per review with
-    words. The row ids are cut into ``slices`` equal ranges: inside a range the next review
+    words; ``limits`` one struct of the lowest and highest row id (lo, hi). The ids are cut into ``slices`` equal ranges: inside a range the next review
     is found by a window over (entity, range), so a hot entity is spread over all ranges;
     between ranges it is found over one row per range, which bounds that window.
     """
-    limits = tokens.agg(F.struct(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")))
     lo = limits.scalar()["lo"].cast("double")
     width = (limits.scalar()["hi"].cast("double") - lo) / slices + 1
     # Any non-decreasing function of the id will do, so double arithmetic is exact enough.
@@ -74,22 +73,29 @@ def ngram_counts(
     """
     tokens = reviews.select(
         entity, "row_id", text.tokenize(column, min_len, stopwords).alias("words")
-    ).where(F.size("words") > 0)
+    )
     words = F.col("words")
     pairs = F.zip_with(
-        F.slice(words, 1, F.size(words) - 1),
+        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
         F.slice(words, 2, F.size(words)),
         lambda a, b: F.concat_ws(" ", a, b),
     )
     within = tokens.select(entity, F.explode(F.concat(words, pairs)).alias("term"))
+    # A generator and not a filter drops reviews without words: a filter would be pushed
+    # below the projection and find the words of every review a second time.
+    ends = F.struct(
+        F.get(words, F.lit(0)).alias("first_word"),
+        F.get(words, F.size(words) - 1).alias("last_word"),
+    )
     edges = tokens.select(
         entity,
         "row_id",
-        F.element_at(words, 1).alias("first_word"),
-        F.element_at(words, -1).alias("last_word"),
+        F.inline(F.filter(F.array(ends), lambda e: e["first_word"].isNotNull())),
     )
+    limits = reviews.agg(F.struct(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")))
+    boundary = boundary_bigrams(edges, limits, entity, slices)
     terms = C.count_groups(within, entity, "term").unionByName(
-        C.count_groups(boundary_bigrams(edges, entity, slices), entity, "term")
+        C.count_groups(boundary, entity, "term")
     )
     return terms.groupBy(entity, "term").agg(F.sum("n").alias("n"))
 
