@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..session import scratch  # noqa: F401 - the query modules take it from here
+
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double so that the order of summation cannot show in a comparison."""
@@ -22,15 +21,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files a query writes: in the shared folder that the session names,
-    on a machine of one in a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/placelens-{name}-{uuid.uuid4().hex}"
-    return f"{tempfile.mkdtemp(prefix='placelens-')}/{name}"
-
-
 def long_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """One row per vector element, for results that are vectors."""
     return df.select(*keys, F.posexplode(vector).alias("pos", "value"))
