@@ -55,8 +55,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/placelens-{name}-{uuid.uuid4().hex}"
 
 
-def written(df, name: str):
+def written(df, name: str, compression: str = "snappy"):
     """The rows of ``df`` from a table in the shared folder: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
