@@ -201,7 +201,7 @@ def histogram_shards(
     offsets = table.groupBy("shard", "range").agg(F.count("*").alias("n")).select(
         "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
-    return table.join(offsets, "range").select("row", "size", "shard", (F.col("offset") + F.col("pos")).alias("slot"))
+    return table.join(F.broadcast(offsets), "range").select("row", "size", "shard", (F.col("offset") + F.col("pos")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
