@@ -1,19 +1,47 @@
-"""From documents to token ids, stage by stage."""
+"""From documents to token ids, stage by stage: languages, exact copies, near copies, benchmark, tokens."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from placelens.llm import grace_dedup
+from placelens.llm import backtrack_bpe, grace_dedup, jaccard_join, language_evidence, latent_decontamination
 from placelens.session import ship, written
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays."""
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no known language go."""
+    return language_evidence.accepted_documents(docs, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document of the largest id stays."""
     return grace_dedup.drop_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document of the smallest id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return latent_decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents that are left, with digests of the ids and of what they decode to."""
+    return backtrack_bpe.tokenized(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language", language),
+    ("exact copies", exact_copies),
+    ("near copies", near_copies),
+    ("benchmark", benchmark),
+    ("tokens", tokens),
+]
+#: Language models, latent vectors and merges are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -21,6 +49,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read by the next."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -228,3 +228,32 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", doc
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding, and of decoding what was encoded."""
     return _mapped(docs, path, pattern, text, doc_id, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _tokens_of(content, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, cut = _encoder(content.value, pattern)
+        for batch in batches:
+            ids = list(cut.encode_all(batch.column("text").to_pylist()))
+            digests = [_digests(encoder, x) for x in ids]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), values), pa.array([d[0] for d in digests], pa.int64()),
+                    pa.array([d[1] for d in digests], pa.string()), pa.array([d[2] for d in digests], pa.string()),
+                ],
+                names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return run
+
+
+def tokenized(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256): ids and digests together."""
+    ship(docs.sparkSession)
+    content = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(
+        _tokens_of(content, pattern), "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )

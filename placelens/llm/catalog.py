@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backtrack_bpe, chat_format, grace_dedup, histogram_shards, token_files
+from . import (
+    backtrack_bpe,
+    chat_format,
+    grace_dedup,
+    histogram_shards,
+    jaccard_join,
+    language_evidence,
+    latent_decontamination,
+    suffix_spans,
+    token_files,
+)
 
 SHARDS = 40
 END_ID = 2
@@ -26,11 +36,32 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 75 percent of the 5-word shingles."""
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
+def op3_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from its text, its page's markup and address, and its host."""
+    found = language_evidence.document_languages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.drop("key")
+
+
+def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    return latent_decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of equal texts of every document."""
     return grace_dedup.duplicate_classes(documents(spark, sf_dir))
 
 
+def op7_suffix_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without spans of 50 words that an earlier one holds."""
+    return suffix_spans.repeated_spans_cut(documents(spark, sf_dir)).drop("kept")
+
+
 def op8_backtrack_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the bytes they decode to, as digests."""
     return backtrack_bpe.digests(
@@ -63,11 +94,58 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM n WINDOW g AS (PARTITION BY t)
 """
 
+WORDS_SQL = """w AS (
+  SELECT doc_id, list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents)"""
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = f"""
+WITH RECURSIVE {WORDS_SQL.format(text=LOWER_SQL)},
+s AS (
+  SELECT doc_id, CASE
+    WHEN len(ws) = 0 THEN []
+    WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
+  FROM w),
+t AS (SELECT doc_id, unnest(sh) AS shingle FROM s),
+o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM t x JOIN t y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * n >= 75 * (len(x.sh) + len(y.sh) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (
+  SELECT doc_id AS node, doc_id AS root FROM s
+  UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT s.doc_id, len(sh) AS n_shingles, min(root) AS component_id
+FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, len(sh)
+"""
+
+OP7_SQL = f"""
+WITH {WORDS_SQL.format(text="coalesce(text, '')")},
+v AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS span
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT span, min(doc_id) AS first_id FROM v GROUP BY span),
+h AS (SELECT v.doc_id, v.i FROM v JOIN f USING (span) WHERE first_id < v.doc_id),
+g AS (SELECT DISTINCT doc_id, i + j AS p FROM h, range(0, 50) x(j)),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+k AS (
+  SELECT p.doc_id, count(g.p) AS n_removed, string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY p.p) AS kept
+  FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.p = p.p GROUP BY p.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
+    "op2_jaccard_join": op2_jaccard_join,
+    "op3_language_evidence": op3_language_evidence,
     "op4_grace_dedup": op4_grace_dedup,
+    "op5_latent_decontamination": op5_latent_decontamination,
+    "op7_suffix_spans": op7_suffix_spans,
     "op8_backtrack_bpe": op8_backtrack_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_token_files": op10_token_files,
 }
-ORACLE = {"op4_grace_dedup": OP4_SQL}
+ORACLE = {"op2_jaccard_join": OP2_SQL, "op4_grace_dedup": OP4_SQL, "op7_suffix_spans": OP7_SQL}
