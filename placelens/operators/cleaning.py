@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
@@ -11,9 +11,19 @@ REVIEW_COLUMNS = ["Title", "Review", "Town", "Region", "Type", "Polarity"]
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Add an id that follows the order of the scan. Only the order is ever used, so gaps
-    are harmless. Write the result before sampling from it more than once."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Add an id that follows file names and the order of rows in a file, for rows straight
+    from a file source. Spark packs files into tasks by size, so the order of the scan is
+    another one. Only the order of ids is ever used; they have gaps. Write the result before
+    sampling from it more than once."""
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    located = df.select("*", file.alias("_file"), block.alias("_block"), position.alias("_at"))
+    splits = df.select(file.alias("_file"), block.alias("_block")).distinct()
+    order = F.row_number().over(Window.orderBy("_file", "_block"))  # one row a split
+    numbered = splits.select("_file", "_block", F.shiftleft(order.cast("long"), 33).alias("_split"))
+    return located.join(numbered, ["_file", "_block"]).select(
+        *df.columns, (F.col("_split") + F.col("_at")).alias(name)
+    )
 
 
 def clean_text_columns(df: DataFrame) -> DataFrame:

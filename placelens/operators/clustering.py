@@ -92,7 +92,9 @@ def sweep(
         found = []
         for k in ks:
             model = models[k]
-            score = silhouette_cosine(model.transform(features), "prediction")
+            labelled = model.transform(features)
+            several = labelled.select("prediction").distinct().count() > 1
+            score = silhouette_cosine(labelled, "prediction") if several else 0.0
             found.append(Clustering(k, score, model.summary.trainingCost, model))
         return found
     finally:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_even
+from ..session import written
 from . import counts as C
 
 
@@ -72,13 +73,21 @@ def volume_vs_quality(stats: DataFrame, min_n: int = 5, entity: str = "Town") ->
 def entity_index(df: DataFrame, entity: str = "Town") -> DataFrame:
     """Sorted distinct entities with their position from 0.
 
-    Dense positions come from a distributed sort and per-partition offsets; a window
-    without partitions would pull every entity into one task. Rankings do not use this:
-    ordering by the entity itself is the same order.
+    Ranges are sorted in their own tasks and written once; a range starts at the number of
+    entities in the ranges before it. Rankings do not use this: ordering by the entity
+    itself is the same order.
     """
-    ordered = df.select(entity).distinct().orderBy(entity)
-    indexed = ordered.rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1]))
-    return df.sparkSession.createDataFrame(indexed, f"`{entity}` string, entity_idx long")
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = written(
+        df.select(entity).distinct().repartitionByRange(entity).sortWithinPartitions(entity)
+        .select(entity, F.spark_partition_id().alias("_range"), position.alias("_at")),
+        "entity-index",
+    )
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )  # one row a range
+    return ranged.join(starts, "_range").select(entity, (F.col("_start") + F.col("_at")).alias("entity_idx"))
 
 
 def rank_entities_by_count(cells: DataFrame, k: int, entity: str = "Town") -> DataFrame:

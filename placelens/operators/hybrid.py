@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, vectors
+from ..functions.constants import (
+    ALPHA_HIGH,
+    ALPHA_LOW,
+    DIVERSITY_SHARE,
+    SIZE_SHARE,
+    WIDEST_STD,
+)
 from . import blocks
 from . import counts as C
 from .neighbours import knn
@@ -23,9 +30,9 @@ def dynamic_alpha(cells: DataFrame, entity: str = "Town") -> DataFrame:
     """
     sizes = cells.groupBy(entity).agg(F.sum("n").alias("n"), C.stddev("Polarity").alias("std"))
     largest = cells.groupBy(entity).agg(F.sum("n").alias("n")).agg(F.max("n")).scalar()
-    diversity = F.least(F.coalesce("std", F.lit(0.0)) / 1.5, F.lit(1.0))
-    confidence = F.col("n") / largest * 0.6 + diversity * 0.4
-    return sizes.select(entity, numeric.clip(1.0 - confidence, 0.2, 0.95).alias("alpha"))
+    diversity = F.least(F.coalesce("std", F.lit(0.0)) / WIDEST_STD, F.lit(1.0))
+    confidence = F.col("n") / largest * SIZE_SHARE + diversity * DIVERSITY_SHARE
+    return sizes.select(entity, numeric.clip(1.0 - confidence, ALPHA_LOW, ALPHA_HIGH).alias("alpha"))
 
 
 def alpha_extremes(alphas: DataFrame, k: int = 3, entity: str = "Town") -> DataFrame:
@@ -93,7 +100,10 @@ def _sides(
     entity: str,
 ) -> tuple[DataFrame, DataFrame]:
     left = _attach_votes(queries, votes, query_id, entity)
-    right = profiles.join(alphas, entity).select(entity, "profile", "alpha")
+    # an entity without a weight has no reviews to vote with: its content decides
+    right = profiles.join(alphas, entity, "left").select(
+        entity, "profile", F.coalesce("alpha", F.lit(ALPHA_HIGH)).alias("alpha")
+    )
     return left, right
 
 
@@ -102,7 +112,7 @@ def score_hybrid(
     votes: DataFrame,
     profiles: DataFrame,
     alphas: DataFrame,
-    top_n: int | None = None,
+    top_n: int,
     query_id: str = "query_id",
     vector: str = "embedding",
     entity: str = "Town",
@@ -110,8 +120,7 @@ def score_hybrid(
 ) -> DataFrame:
     """``alpha * cb + (1 - alpha) * cf`` per (query, entity).
 
-    With ``top_n`` a grid cell returns only the best ``top_n`` per query, equal scores to
-    the later entity; without it every pair is the result.
+    A grid cell returns only the best ``top_n`` per query, equal scores to the later entity.
     """
     left, right = _sides(
         queries.select(query_id, vector), votes, profiles, alphas, query_id, entity
@@ -125,9 +134,7 @@ def score_hybrid(
     def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
         b = blocks.sort_by(b, entity, "descending")
         cb, cf, hybrid = _score_block(a, b, vector, entity)
-        mask = (
-            np.ones(hybrid.shape, dtype=bool) if top_n is None else blocks.best_k(hybrid, top_n)
-        )
+        mask = blocks.best_k(hybrid, top_n)
         return blocks.emit(
             a.select([query_id]),
             b.select([entity, "alpha"]),
@@ -173,7 +180,7 @@ def recommend(
     scored = score_hybrid(
         queries, votes, profiles, alphas, top_n, query_id, vector, entity
     )
-    best = rank_recommendations(scored, top_n, query_id, entity).join(meta, entity)
+    best = rank_recommendations(scored, top_n, query_id, entity).join(meta, entity, "left")
     if clusters is not None:
         best = best.join(clusters, entity, "left").withColumn(
             "color", numeric.cluster_colour("cluster")
@@ -214,7 +221,8 @@ def truth_ranks(
     """Rank of the true entity per (query, method), equal scores behind the later entity.
 
     The true entity's own scores come first, from a join on its name. Every grid cell then
-    counts how many entities beat them, so no ranking of all entities is materialised.
+    counts how many entities beat them, so no ranking of all entities is materialised. A
+    true entity without a profile cannot be found: it ranks behind all that have one.
     """
     left, right = _sides(
         queries.select(query_id, truth, vector), votes, profiles, alphas, query_id, entity
@@ -227,9 +235,12 @@ def truth_ranks(
     cast_vote = F.try_element_at(
         F.map_from_arrays("_voted", "_cf"), F.col(truth)
     )
-    cb = F.round(vectors.dot(vectors.l2_normalize(vector), "_profile"), blocks.SCORE_DECIMALS)
+    cb = F.when(
+        F.col("_profile").isNotNull(),
+        F.round(vectors.dot(vectors.l2_normalize(vector), "_profile"), blocks.SCORE_DECIMALS),
+    )
     left = (
-        left.join(own, truth)
+        left.join(own, truth, "left")
         .withColumn("_truth_cb", cb)
         .withColumn(
             "_truth_hybrid",
@@ -253,7 +264,7 @@ def truth_ranks(
         other = names[None, :] != wanted[:, None]
 
         def beaten_by(scores: np.ndarray, own_score: str) -> np.ndarray:
-            mine = a.column(own_score).to_numpy()[:, None]
+            mine = a.column(own_score).fill_null(-np.inf).to_numpy()[:, None]
             return (other & ((scores > mine) | ((scores == mine) & later))).sum(axis=1)
 
         return pa.table(

@@ -8,6 +8,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as fixed
+
 
 def entity_map_2d(
     profiles: DataFrame,
@@ -17,16 +19,16 @@ def entity_map_2d(
     entity: str = "Town",
     query_id: str = "query_id",
     vector: str = "embedding",
-    mark_top: int = 220,
-    mark_other: int = 90,
-    mark_query: int = 450,
-) -> DataFrame:
+    mark_top: int = fixed.MARK_TOP,
+    mark_other: int = fixed.MARK_OTHER,
+    mark_query: int = fixed.MARK_QUERY,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First two principal axes of the profiles; entities and queries on the same axes.
 
-    One row per (query, entity or the query itself) with coordinates, cluster, whether the
-    entity is recommended, its base mark and the size of its highlight by rank. Axes are
-    oriented so that the largest loading of each is positive. Entities are laid out for
-    every query because each query has its own map.
+    Three frames: the entities (coordinates, cluster, base mark), the queries (coordinates,
+    mark), and the marks of recommended entities per query (mark, highlight by rank). The
+    map of one query is all entities, that query, and its marks. Axes are oriented so that
+    the largest loading of each is positive.
     """
 
     def packed(df: DataFrame, column: str) -> DataFrame:
@@ -48,28 +50,14 @@ def entity_map_2d(
 
     towns = placed(profiles, "profile", entity).join(clusters, entity, "left")
     users = placed(queries, vector, query_id)
-    # One entry per entity and query: the entities ride along as an array per query.
-    layout = towns.agg(F.collect_list(F.struct(entity, "x", "y", "cluster"))).scalar()
-    spread = queries.select(query_id, F.inline(layout))
-    marks = recommended.select(query_id, F.col("pueblo").alias(entity), "rank")
-    entities = spread.join(marks, [query_id, entity], "left").select(
+    marks = recommended.select(
         query_id,
-        entity,
-        "x",
-        "y",
-        "cluster",
-        F.col("rank").isNotNull().alias("top"),
-        F.when(F.col("rank").isNotNull(), mark_top).otherwise(mark_other).alias("mark"),
-        (500 - (F.col("rank") - 1) * 70).cast("int").alias("highlight"),
+        F.col("pueblo").alias(entity),
+        F.lit(mark_top).alias("mark"),
+        (fixed.HIGHLIGHT_FIRST - (F.col("rank") - 1) * fixed.HIGHLIGHT_STEP).cast("int").alias("highlight"),
     )
-    own = users.select(
-        query_id,
-        F.lit(None).cast("string").alias(entity),
-        "x",
-        "y",
-        F.lit(None).cast("int").alias("cluster"),
-        F.lit(False).alias("top"),
-        F.lit(mark_query).alias("mark"),
-        F.lit(None).cast("int").alias("highlight"),
+    return (
+        towns.withColumn("mark", F.lit(mark_other)),
+        users.withColumn("mark", F.lit(mark_query)),
+        marks,
     )
-    return entities.unionByName(own)

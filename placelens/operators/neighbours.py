@@ -17,7 +17,7 @@ def _type_of(df: DataFrame, name: str) -> str:
 def cosine_search(
     queries: DataFrame,
     targets: DataFrame,
-    k: int | None,
+    k: int,
     query_id: str = "query_id",
     query_vector: str = "embedding",
     target_id: str = "Town",
@@ -26,7 +26,7 @@ def cosine_search(
     tie_order: str = "ascending",
     **sizes: int,
 ) -> DataFrame:
-    """The ``k`` most similar targets per query (all of them if ``k`` is None), ranked.
+    """The ``k`` most similar targets per query, ranked.
 
     Every grid cell returns at most ``k`` rows per query; the final ranking merges those.
     """
@@ -42,14 +42,13 @@ def cosine_search(
     def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
         b = blocks.sort_by(b, target_id, tie_order)
         scores = blocks.cosine(a, b, query_vector, "_target")
-        mask = np.ones(scores.shape, dtype=bool) if k is None else blocks.best_k(scores, k)
+        mask = blocks.best_k(scores, k)
         return blocks.emit(a.select([query_id]), b.select(kept), mask, {"similarity": scores})
 
     pairs = blocks.block_join(left, right, query_id, target_id, kernel, schema, **sizes)
     tie = F.asc(target_id) if tie_order == "ascending" else F.desc(target_id)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("similarity"), tie))
-    ranked = pairs.withColumn("rank", rank)
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def knn(
@@ -68,23 +67,15 @@ def knn(
     )
 
 
-def similarity_matrix(profiles: DataFrame, entity: str = "Town", **sizes: int) -> DataFrame:
-    """Cosine of every ordered pair of entities; the diagonal is exactly 1."""
+def similar_entities(profiles: DataFrame, k: int, entity: str = "Town", **sizes: int) -> DataFrame:
+    """The ``k`` most similar other entities of every entity, ranked. The full matrix grows
+    with the square of the entities and is not offered."""
     left = profiles.select(F.col(entity).alias("entity_a"), F.col("profile").alias("_a"))
-    right = profiles.select(F.col(entity).alias("entity_b"), F.col("profile").alias("_b"))
-
-    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
-        scores = blocks.cosine(a, b, "_a", "_b")
-        names_a = np.array(a.column("entity_a").to_pylist(), dtype=object)
-        names_b = np.array(b.column("entity_b").to_pylist(), dtype=object)
-        scores[names_a[:, None] == names_b[None, :]] = 1.0
-        everything = np.ones(scores.shape, dtype=bool)
-        return blocks.emit(
-            a.select(["entity_a"]), b.select(["entity_b"]), everything, {"similarity": scores}
-        )
-
-    schema = "entity_a string, entity_b string, similarity double"
-    return blocks.block_join(left, right, "entity_a", "entity_b", kernel, schema, **sizes)
+    right = profiles.select(F.col(entity).alias("entity_b"), "profile")
+    near = cosine_search(left, right, k + 1, "entity_a", "_a", "entity_b", "profile", **sizes)
+    order = Window.partitionBy("entity_a").orderBy(F.desc("similarity"), "entity_b")
+    others = near.where("entity_a <> entity_b").withColumn("rank", F.row_number().over(order))
+    return others.where(F.col("rank") <= k)
 
 
 def most_similar_pairs(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
@@ -58,12 +58,12 @@ def polarity_by_type(cells: DataFrame) -> DataFrame:
     )
 
 
-def region_by_type(cells: DataFrame, types: list[str]) -> DataFrame:
-    """Region × Type counts with row total, smallest total first. The types are named by
-    the caller so that the pivot needs no extra pass; others still count in the total."""
-    table = cells.groupBy("Region").pivot("Type", types).agg(F.sum("n")).na.fill(0)
-    totals = cells.groupBy("Region").agg(F.sum("n").alias("total"))
-    return table.join(totals, "Region").orderBy("total", "Region")
+def region_by_type(cells: DataFrame) -> DataFrame:
+    """(Region, Type, n, total): every type that occurs, with its region's total, smallest
+    total first."""
+    counts = cells.groupBy("Region", "Type").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("Region"))  # one row a type
+    return counts.withColumn("total", total).orderBy("total", "Region", "Type")
 
 
 def describe_by_type(cells: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -15,21 +17,20 @@ OUTLIER = -1
 
 
 def assign_topics(
-    sample: DataFrame, n_topics: int = 19, vector: str = "embedding", seed: int = 42
+    sample: DataFrame, n_topics: int = 19, vector: str = "embedding", seed: int = 42, max_iter: int = 300
 ) -> DataFrame:
     """Topic per review from k-means on unit vectors. A group below the minimum size
-    ``max(5, rows // (3 * n_topics))`` is no topic: its reviews become outliers (-1)."""
+    ``max(5, rows // (3 * n_topics))`` is no topic: its reviews become outliers (-1).
+    A fit that needs all of ``max_iter`` rounds did not converge and warns."""
     features = sample.withColumn("features", array_to_vector(vectors.l2_normalize(vector)))
     features = features.orderBy("row_id").persist()
-    try:
-        model = KMeans(k=n_topics, seed=seed, predictionCol="topic").fit(features)
-        sizes = model.summary.clusterSizes
-    finally:
-        features.unpersist()
+    model = KMeans(k=n_topics, seed=seed, maxIter=max_iter, predictionCol="topic").fit(features)
+    if model.summary.numIter >= max_iter:
+        warnings.warn(f"k-means did not converge in {max_iter} rounds", stacklevel=2)
+    sizes = model.summary.clusterSizes
     minimum = max(5, sum(sizes) // (3 * n_topics))
     small = [i for i, size in enumerate(sizes) if size < minimum]
-    assigned = model.transform(sample.withColumn("features", array_to_vector(
-        vectors.l2_normalize(vector)))).drop("features")
+    assigned = model.transform(features).drop("features")
     if not small:
         return assigned
     topic = F.when(F.col("topic").isin(small), OUTLIER).otherwise(F.col("topic"))
@@ -97,7 +98,10 @@ def enriched_profile(
     """Profile followed by the topic shares in topic order, scaled to length one."""
     ordered = F.array_sort(F.collect_list(F.struct("topic", "share")))
     shares = distribution.groupBy(entity).agg(ordered["share"].alias("_shares"))
-    joined = profiles.join(shares, entity)
+    # entities outside the topic sample have no share of any topic
+    width = shares.agg(F.coalesce(F.max(F.size("_shares")), F.lit(0))).scalar()
+    filled = F.coalesce(F.col("_shares").cast("array<double>"), F.array_repeat(F.lit(0.0), width))
+    joined = profiles.join(shares, entity, "left").withColumn("_shares", filled)
     return joined.select(
         entity, vectors.l2_normalize(vectors.concat_vectors("profile", "_shares")).alias("profile")
     )

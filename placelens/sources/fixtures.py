@@ -25,7 +25,7 @@ def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(doc_id % 59 == 0, "0.9")
         .otherwise((1 + (doc_id * 31 + F.col("n_chars")) % 5).cast("string"))
     )
-    key = F.substring("source", 4, 100).cast("int") % 5
+    key = F.substr("source", F.lit(4)).cast("int") % 5
     return documents.join(region, F.col("r_regionkey") == key).select(
         doc_id.alias("row_id"),
         F.split_part("text", F.lit(" "), F.lit(1)).alias("Title"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CSV_MISSING
 
+MALFORMED = "_malformed"
+
 
 def files_not_utf8(spark: SparkSession, path: str) -> list[str]:
     """Names of the files holding bytes that are no UTF-8.
@@ -30,7 +32,7 @@ def read_reviews_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
     data as many files, or set it to False where reviews have no line breaks.
     """
     latin1 = files_not_utf8(spark, path)
-    everything = [row.file for row in _files(spark, path).collect()] if latin1 else []
+    everything = spark.read.text(path).inputFiles() if latin1 else []
     groups = {"UTF-8": sorted(set(everything) - set(latin1)), "ISO-8859-1": latin1}
     if not latin1:
         return _read(spark, [path], "UTF-8", multi_line)
@@ -42,20 +44,20 @@ def read_reviews_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
-
-
 def _read(spark: SparkSession, paths: list[str], encoding: str, multi_line: bool) -> DataFrame:
-    raw = (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(paths)
-    )
+    """All fields as strings by the header's names. A row with more fields than the header
+    stops the job; one with fewer is filled with nulls."""
+    options = {"encoding": encoding, "multiLine": multi_line, "quote": '"', "escape": '"'}
+    reader = spark.read.options(header=True, columnPruning=False, columnNameOfCorruptRecord=MALFORMED, **options)
+    names = [f"`{c}` string" for c in spark.read.options(header=True, **options).csv(paths).columns]
+    raw = reader.schema(", ".join([*names, f"`{MALFORMED}` string"])).csv(paths)
+    fields = F.from_csv(MALFORMED, ", ".join([*names, "surplus string"]), {"quote": '"', "escape": '"'})
+    # the message names a parsed field too: a scan must not ask for the malformed text alone
+    row = F.concat_ws(" ... ", F.lit("a row has more fields than the header"), names[0].rsplit(" ", 1)[0], MALFORMED)
+    error = F.raise_error(row)
+    surplus = F.col(MALFORMED).isNotNull() & fields["surplus"].isNotNull()
+    checked = raw.where(F.coalesce(F.when(surplus, error.cast("boolean")), F.lit(True))).drop(MALFORMED)
     missing = sorted(CSV_MISSING)
-    return raw.select(
-        *[F.when(~F.col(c).isin(missing), F.col(c)).alias(c) for c in raw.columns]
+    return checked.select(
+        *[F.when(~F.col(f"`{c}`").isin(missing), F.col(f"`{c}`")).alias(c) for c in checked.columns]
     )
