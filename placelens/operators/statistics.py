@@ -81,7 +81,12 @@ def boxplot_stats(
     """Quartiles, whiskers (extreme data within 1.5 interquartile ranges of the box) and
     outlier count per group, largest group first."""
     column = F.col(value) if low is None else numeric.clip(value, low, high)
-    table = C.count_groups(df, F.col(by), column.alias("value"))
+    return boxplot_of_counts(C.count_groups(df, F.col(by), column.alias("value")), by).orderBy(F.desc("size"), by)
+
+
+def boxplot_of_counts(counts: DataFrame, by: str, value: str = "value") -> DataFrame:
+    """The same from counted values: ``by``, ``value`` and multiplicity ``n``."""
+    table = counts.groupBy(by, F.col(value).alias("value")).agg(F.sum("n").alias("n"))
     quartile = table.groupBy(by).agg(
         F.sum("n").alias("size"), C.quantile("value", [0.25, 0.5, 0.75]).alias("q")
     )
@@ -100,7 +105,6 @@ def boxplot_stats(
             F.greatest(F.max(F.when(above, F.col("value"))), F.col("q3")).alias("whisker_high"),
             F.sum(F.when(above & below, 0).otherwise(F.col("n"))).alias("outliers"),
         )
-        .orderBy(F.desc("size"), by)
     )
 
 

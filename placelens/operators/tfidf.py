@@ -9,27 +9,23 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.constants import STOPWORDS_ENTITY
+from ..session import written
 from .entities import rank_entities_by_count
 from . import counts as C
 
-SLICES = 4096
+SLICES = 200
 
 
-def boundary_bigrams(
-    tokens: DataFrame, limits: DataFrame, entity: str = "Town", slices: int = SLICES
-) -> DataFrame:
+def boundary_bigrams(tokens: DataFrame, entity: str = "Town", slices: int = SLICES) -> DataFrame:
     """Bigrams of the last word of a review and the first word of the entity's next review
     that has words.
 
     ``tokens`` has (entity, row_id, first_word, last_word), one narrow row per review with
-    words; ``limits`` one struct of the lowest and highest row id (lo, hi). The ids are cut into ``slices`` equal ranges: inside a range the next review
-    is found by a window over (entity, range), so a hot entity is spread over all ranges;
-    between ranges it is found over one row per range, which bounds that window.
+    words. Rows move to ``slices`` ranges of ids of about equal size: inside a range the
+    next review is found by a window over (entity, range), so a hot entity is spread over
+    all ranges; between ranges it is found over one row per range, which bounds that window.
     """
-    lo = limits.scalar()["lo"].cast("double")
-    width = (limits.scalar()["hi"].cast("double") - lo) / slices + 1
-    # Any non-decreasing function of the id will do, so double arithmetic is exact enough.
-    sliced = tokens.withColumn("_slice", F.floor((F.col("row_id") - lo) / width).cast("int"))
+    sliced = tokens.repartitionByRange(slices, "row_id").withColumn("_slice", F.spark_partition_id())
     inside = Window.partitionBy(entity, "_slice").orderBy("row_id")
     chained = sliced.select(
         entity,
@@ -67,36 +63,40 @@ def ngram_counts(
 ) -> DataFrame:
     """Counts ``n`` of one- and two-word terms per entity.
 
-    An entity's reviews form one document, so a bigram may join two reviews. The words of a
-    review and the bigrams inside it never leave their task before they are counted; only
-    its first and last word take part in the search for the next review.
+    An entity's reviews form one document, so a bigram may join two reviews. Texts are cut
+    into words once: a review emits its words, the bigrams inside it, and one entry with its
+    first and last word for the search for the next review. What is counted of that is
+    written, and terms and boundaries are read from there.
     """
-    tokens = reviews.select(
-        entity, "row_id", text.tokenize(column, min_len, stopwords).alias("words")
-    )
     words = F.col("words")
     pairs = F.zip_with(
         F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
         F.slice(words, 2, F.size(words)),
         lambda a, b: F.concat_ws(" ", a, b),
     )
-    within = tokens.select(entity, F.explode(F.concat(words, pairs)).alias("term"))
-    # A generator and not a filter drops reviews without words: a filter would be pushed
-    # below the projection and find the words of every review a second time.
-    ends = F.struct(
-        F.get(words, F.lit(0)).alias("first_word"),
-        F.get(words, F.size(words) - 1).alias("last_word"),
+    nothing = F.lit(None)
+    text_entry = lambda term: F.struct(
+        term.alias("term"), nothing.cast("long").alias("edge_row"),
+        nothing.cast("string").alias("first_word"), nothing.cast("string").alias("last_word"),
     )
-    edges = tokens.select(
-        entity,
-        "row_id",
-        F.inline(F.filter(F.array(ends), lambda e: e["first_word"].isNotNull())),
+    edge = F.struct(
+        nothing.cast("string").alias("term"), F.col("row_id").cast("long").alias("edge_row"),
+        F.get(words, F.lit(0)).alias("first_word"), F.get(words, F.size(words) - 1).alias("last_word"),
+    )
+    entries = F.when(F.size(words) > 0, F.concat(F.transform(F.concat(words, pairs), text_entry), F.array(edge)))
+    tokens = reviews.select(
+        entity, "row_id", text.tokenize(column, min_len, stopwords).alias("words")
+    ).select(entity, F.inline(entries))
+    counted = written(
+        tokens.groupBy(entity, "term", "edge_row", "first_word", "last_word").agg(F.count(F.lit(1)).alias("n")),
+        "ngram-entries",
     )
-    limits = reviews.agg(F.struct(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")))
-    boundary = boundary_bigrams(edges, limits, entity, slices)
-    terms = C.count_groups(within, entity, "term").unionByName(
-        C.count_groups(boundary, entity, "term")
+    within = counted.where(F.col("term").isNotNull()).select(entity, "term", "n")
+    edges = counted.where(F.col("term").isNull()).select(
+        entity, F.col("edge_row").alias("row_id"), "first_word", "last_word"
     )
+    boundary = C.count_groups(boundary_bigrams(edges, entity, slices), entity, "term")
+    terms = within.unionByName(boundary)
     return terms.groupBy(entity, "term").agg(F.sum("n").alias("n"))
 
 

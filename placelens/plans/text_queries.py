@@ -10,6 +10,7 @@ from ..functions.constants import COMPLAINT_LEXICON, STOPWORDS_ENTITY, STOPWORDS
 from ..operators import terms, tfidf
 from ..operators.counts import review_cells
 from ..operators.entities import entity_stats
+from ..session import written
 from ..sources import fixtures
 from .common import rounded
 from .views import REVIEWS, STATS, with_views
@@ -48,7 +49,8 @@ def _complaints(s: SparkSession, d: str) -> DataFrame:
 
 def _weights(s: SparkSession, d: str) -> DataFrame:
     reviews = fixtures.reviews(s, d)
-    return tfidf.tfidf(tfidf.ngram_counts(reviews), tfidf.entity_count(reviews))
+    counts = written(tfidf.ngram_counts(reviews), "ngrams")
+    return written(tfidf.tfidf(counts, tfidf.entity_count(reviews)), "tfidf")
 
 
 def _discriminative(s: SparkSession, d: str) -> DataFrame:
