@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,12 @@ def files_not_utf8(spark: SparkSession, path: str) -> list[str]:
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     bad = lines.where(~F.is_valid_utf8("value")).select("file").distinct()
-    return sorted(row.file for row in bad.collect())
+    return sorted(_named(row.file) for row in bad.collect())
+
+
+def _named(file: str) -> str:
+    """Listings and rows write "file:/" with one slash or three."""
+    return re.sub("^file:/+", "file:///", file)
 
 
 def read_reviews_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -32,7 +38,7 @@ def read_reviews_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
     data as many files, or set it to False where reviews have no line breaks.
     """
     latin1 = files_not_utf8(spark, path)
-    everything = spark.read.text(path).inputFiles() if latin1 else []
+    everything = [_named(file) for file in spark.read.text(path).inputFiles()] if latin1 else []
     groups = {"UTF-8": sorted(set(everything) - set(latin1)), "ISO-8859-1": latin1}
     if not latin1:
         return _read(spark, [path], "UTF-8", multi_line)
