@@ -14,44 +14,70 @@ from collections.abc import Callable, Iterable, Iterator
 _RUNS = re.compile(r"\s\s")
 _BLANK = re.compile(r"(?<=\S)(?= \S)")
 MOST_UNITS = 400_000  # in a generation of a table; a worker holds two, together about 150 MB
+PUNCTUATION = ".,;:!?&%$#*)\"|"  # no apostrophe, which may belong to what follows it
+MOST_ENDS = 10_000
 LONG_UNIT = 64  # characters; longer units are not kept
 GROUP_CHARS = 500_000  # of text whose units are looked up together
 
 
 class UnitTable:
-    """Unit to bytes for the units in use. Those not used for a generation are forgotten."""
+    """Unit to bytes for the units in use. Those not used for a generation are forgotten.
 
-    def __init__(self, make_many: Callable[[list[str]], list[bytes]], most: int = MOST_UNITS) -> None:
-        self._make_many, self._most = make_many, most
+    Punctuation behind a letter is a piece of its own, so a unit with such an end takes the bytes of the
+    unit without it, and those of the end."""
+
+    def __init__(self, make_many: Callable[[list[str]], list[bytes]], before: str = "", most: int = MOST_UNITS) -> None:
+        self._make_many, self._before, self._most = make_many, before, most
         self.new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._ends: dict[str, bytes] = {}
 
     def ready(self, units: set[str]) -> dict[str, bytes]:
         """A table that has all of ``units``."""
         if len(self.new) >= self._most:
             self._old, self.new = self.new, {}
-        missing = []
+        if len(self._ends) >= MOST_ENDS:
+            self._ends = {}
+        cut = []
+        whole = set()
         for unit in units.difference(self.new):
-            known = self._old.get(unit)
-            if known is None:
-                missing.append(unit)
+            if unit in self._old:
+                self.new[unit] = self._old[unit]
+                continue
+            stem = unit.rstrip(PUNCTUATION)
+            if stem != unit and stem and stem[-1].isalpha():
+                cut.append((unit, stem, unit[len(stem):]))
+                if stem not in self.new:
+                    if stem in self._old:
+                        self.new[stem] = self._old[stem]
+                    else:
+                        whole.add(stem)
             else:
-                self.new[unit] = known
-        if missing:
-            self.new.update(zip(missing, self._make_many(missing), strict=True))
+                whole.add(unit)
+        self._make(whole, self.new, self._before)
+        self._make({end for _, _, end in cut if end not in self._ends}, self._ends, "")
+        self.new.update((unit, self.new[stem] + self._ends[end]) for unit, stem, end in cut)
         return self.new
 
+    def _make(self, units: set[str], table: dict[str, bytes], before: str) -> None:
+        if units:
+            order = list(units)
+            table.update(zip(order, self._make_many([before + unit for unit in order]), strict=True))
+
     def forget(self, units: Iterable[str]) -> None:
         for unit in units:
             self.new.pop(unit, None)
+            stem = unit.rstrip(PUNCTUATION)
+            self.new.pop(stem, None)
+            self._ends.pop(unit[len(stem):], None)
 
 
 class CutTexts:
     """The joined bytes of the units of texts."""
 
     def __init__(self, make_many: Callable[[list[str]], list[bytes]], most: int = MOST_UNITS) -> None:
-        self._plain = UnitTable(make_many, most)
-        self._after_blank = UnitTable(lambda units: make_many([" " + unit for unit in units]), most)
+        self._plain = UnitTable(make_many, "", most)
+        self._after_blank = UnitTable(make_many, " ", most)
         (self._newline,) = make_many(["\n"])
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
