@@ -13,19 +13,17 @@ from ..session import written
 from .entities import rank_entities_by_count
 from . import counts as C
 
-SLICES = 200
 
-
-def boundary_bigrams(tokens: DataFrame, entity: str = "Town", slices: int = SLICES) -> DataFrame:
+def boundary_bigrams(tokens: DataFrame, entity: str = "Town") -> DataFrame:
     """Bigrams of the last word of a review and the first word of the entity's next review
     that has words.
 
     ``tokens`` has (entity, row_id, first_word, last_word), one narrow row per review with
-    words. Rows move to ``slices`` ranges of ids of about equal size: inside a range the
+    words. Rows move to ranges of ids of about equal size: inside a range the
     next review is found by a window over (entity, range), so a hot entity is spread over
     all ranges; between ranges it is found over one row per range, which bounds that window.
     """
-    sliced = tokens.repartitionByRange(slices, "row_id").withColumn("_slice", F.spark_partition_id())
+    sliced = tokens.repartitionByRange("row_id").withColumn("_slice", F.spark_partition_id())
     inside = Window.partitionBy(entity, "_slice").orderBy("row_id")
     chained = sliced.select(
         entity,
@@ -59,7 +57,6 @@ def ngram_counts(
     min_len: int = 3,
     entity: str = "Town",
     column: str = "full_text",
-    slices: int = SLICES,
 ) -> DataFrame:
     """Counts ``n`` of one- and two-word terms per entity.
 
@@ -95,7 +92,7 @@ def ngram_counts(
     edges = counted.where(F.col("term").isNull()).select(
         entity, F.col("edge_row").alias("row_id"), "first_word", "last_word"
     )
-    boundary = C.count_groups(boundary_bigrams(edges, entity, slices), entity, "term")
+    boundary = C.count_groups(boundary_bigrams(edges, entity), entity, "term")
     terms = within.unionByName(boundary)
     return terms.groupBy(entity, "term").agg(F.sum("n").alias("n"))
 
