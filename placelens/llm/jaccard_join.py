@@ -7,10 +7,11 @@ other hashes of the token. Candidates come from the postings of order 1, and onl
 prefix tokens under orders 2 and 3 are verified by the exact overlap.
 
 Equal sets are one class and enter once. Postings of a token may be long, so pairs within one are not
-all listed: rounds of stars link every set of a list to one member (another one each round), lists whose
-sets are already connected are done, and when what is left could make no more pairs than there are
-postings (or after ``STAR_ROUNDS``), all pairs left between different components are verified. So no
-link that connects two components is lost, whatever the lists' length.
+all listed: rounds of stars compare every set of a list with a few members (others each round), and lists whose
+sets are already connected are done. When what is left could make no more pairs than there are postings, or
+stars link hardly anything more, what is left of the lists is compared block by block: of all pairs
+between different components, those that sizes, places in the order and sketches allow are verified.
+So no link that connects two components is lost, whatever the lists' length.
 
 Token hashes have 48 bits: two tokens of one pair of sets collide with a chance under one in 10^8 for
 sets of a thousand tokens.
@@ -38,6 +39,10 @@ SHINGLE = 5
 PERCENT = 75
 BUCKET_TOKENS = 1 << 21  # of all sets, that one task sorts at a time
 STAR_ROUNDS = 12
+BLOCK_SETS = 1024  # of a list, that meet another such block in a task
+HEADS = 4  # members of a list that a round compares all others with
+SKETCH_BITS = 2048
+USEFUL = 500  # a round of stars that links fewer sets than one for so many postings is the last one
 _TOKEN = np.uint64((1 << 48) - 1)
 
 
@@ -71,8 +76,9 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucketed(bucket: np.ndarray, owner: np.ndarray, token: np.ndarray, df: np.ndarray | None) -> pa.RecordBatch:
-    """One row per bucket: owners with the number of their tokens, and the tokens."""
-    order = np.lexsort((token, owner, bucket))
+    """One row per bucket: owners with the number of their tokens, and the tokens. The tokens of an
+    owner come one after the other."""
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
     bucket, owner, token = bucket[order], owner[order], token[order]
     rows = {"bucket": [], "owners": [], "counts": [], "tokens": [], "dfs": []}
     for a, n in zip(*_runs(bucket), strict=True):
@@ -138,6 +144,8 @@ def _shared(parts: int):
         df = np.repeat(length, length)
         many = df > 1
         owner, token, df = owner[many], token[many], df[many]
+        order = np.argsort(owner, kind="stable")
+        owner, token, df = owner[order], token[order], df[order]
         part = (mixed(owner.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
         return pa.Table.from_batches([_bucketed(part, owner, token, df)])
 
@@ -155,12 +163,21 @@ def _by_order(tokens: np.ndarray, order: int) -> np.ndarray:
     return tokens[np.argsort(mixed(tokens + np.uint64(order)), kind="stable")]
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """A bit for each token; two sets differ in at least as many tokens as their sketches in bits."""
+    bits = np.zeros(SKETCH_BITS, np.uint8)
+    bits[mixed(tokens + np.uint64(9)) % np.uint64(SKETCH_BITS)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _survivors(percent: int):
     """Sets with a shared token in their prefix: (class, n, own tokens, shared tokens in order 1)."""
-    schema = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema(
+        [("class", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.binary())]
+    )
 
     def run(classes: pa.Table, entries: pa.Table) -> pa.Table:
-        rows = {"class": [], "n": [], "alone": [], "tokens": []}
+        rows = {"class": [], "n": [], "alone": [], "sketch": [], "tokens": []}
         if classes.num_rows and entries.num_rows:
             size = dict(zip(classes.column("class").to_pylist(), classes.column("n").to_pylist(), strict=True))
             owner, token, df = _unpacked(entries)
@@ -172,6 +189,7 @@ def _survivors(percent: int):
                     rows["class"].append(int(owner[a]))
                     rows["n"].append(n)
                     rows["alone"].append(int(n - shared))
+                    rows["sketch"].append(_sketch(token[a: a + shared]))
                     rows["tokens"].append(pack48(token[a: a + shared]))
         return pa.Table.from_pydict(rows, schema)
 
@@ -191,8 +209,9 @@ def _postings(percent: int):
                     pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).astype(np.int64)),
                     pa.array(np.repeat(batch.column("class").to_numpy(), lengths)),
                     pa.array(np.repeat(batch.column("n").to_numpy(), lengths)),
+                    pa.array(np.concatenate([*(k + np.arange(m) for k, m in zip(batch.column("alone").to_pylist(), lengths, strict=True)), np.empty(0, np.int64)]).astype(np.int64)),
                 ],
-                names=["token", "class", "n"],
+                names=["token", "class", "n", "place"],
             )
 
     return run
@@ -219,31 +238,148 @@ def _verify(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("class").alias("a"), "n", "alone", "tokens")
-    right = sets.select(
-        F.col("class").alias("b"), F.col("n").alias("n2"), F.col("alone").alias("alone2"), F.col("tokens").alias("tokens2")
+def _differ_little(x: dict[str, np.ndarray], y: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs (a row for each of ``x``, a column for each of ``y``) can be links, by their places
+    under the shared token, sizes and sketches; sets already connected are none."""
+    total = x["n"][:, None] + y["n"]
+    least = -(-percent * total // (100 + percent))  # of common tokens
+    left = np.minimum((x["n"] - x["place"])[:, None], y["n"] - y["place"])
+    rows, columns = np.nonzero((x["label"][:, None] != y["label"]) & (left >= least))
+    apart = np.bitwise_count(x["sketch"][rows] ^ y["sketch"][columns]).sum(axis=1, dtype=np.int64)
+    near = apart + x["alone"][rows] + y["alone"][columns] <= (total - 2 * least)[rows, columns]
+    out = np.zeros(total.shape, bool)
+    out[rows[near], columns[near]] = True
+    return out
+
+
+def _list_pairs(percent: int):
+    """Pairs that can be links within each cell (token, one, two): all of block ``one`` with all of
+    block ``two`` of the token's list. Rows come sorted by cell."""
+
+    def cell(one: int, two: int, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        first, second = rows["block"] == one, rows["block"] == two
+        x, y = ({k: v[m] for k, v in rows.items()} for m in (first, second))
+        a, b = [], []
+        for at in range(0, len(x["n"]), 64):
+            part = {k: v[at: at + 64] for k, v in x.items()}
+            i, j = np.nonzero(_differ_little(part, y, percent))
+            a.append(part["class"][i])
+            b.append(y["class"][j])
+        a, b = (np.concatenate([*z, np.empty(0, np.int64)]) for z in (a, b))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("token", "one", "two", "block", "class", "n", "place", "alone", "label")
+        held: dict[str, np.ndarray] | None = None
+        seen: set[tuple[int, int]] = set()
+
+        def done(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+            cuts = np.flatnonzero((np.diff(rows["token"]) != 0) | (np.diff(rows["one"]) != 0) | (np.diff(rows["two"]) != 0)) + 1
+            new = []
+            for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(rows["token"])].tolist(), strict=True):
+                part = {k: v[a:b] for k, v in rows.items()}
+                for pair in zip(*(z.tolist() for z in cell(int(part["one"][0]), int(part["two"][0]), part)), strict=True):
+                    if pair[0] != pair[1] and pair not in seen:
+                        seen.add(pair)
+                        new.append(pair)
+            if len(seen) > 1_000_000:  # only saves rows; what repeats is dropped later
+                seen.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"]
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(c).to_numpy() for c in names}
+            rows["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8)
+            if held is not None:
+                rows = {k: np.concatenate((held[k], rows[k])) for k in rows}
+            last = np.flatnonzero(
+                (rows["token"] != rows["token"][-1]) | (rows["one"] != rows["one"][-1]) | (rows["two"] != rows["two"][-1])
+            )
+            at = int(last[-1]) + 1 if len(last) else 0
+            if at:
+                yield done({k: v[:at] for k, v in rows.items()})
+            held = {k: v[at:] for k, v in rows.items()}
+        if held is not None:
+            yield done(held)
+
+    return run
+
+
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of the open lists that can be links, in cells of bounded blocks."""
+    blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("class", F.lit(77)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = placed.withColumn("other", other).select(
+        "token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+        "block", "class", "n", "place", "alone", "label", "sketch",
     )
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent), "a long, b long, linked boolean")
+    return cells.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two").mapInArrow(
+        _list_pairs(percent), "a long, b long"
+    ).distinct()
+
 
+def _may_link(percent: int):
+    """Pairs whose sketches do not show that they differ too much."""
 
-def _near(n: str, m: str, percent: int) -> F.Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8) for c in ("sketch", "sketch2"))
+            n, alone, m, alone2 = (batch.column(c).to_numpy() for c in ("n", "alone", "n2", "alone2"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) + alone + alone2
+            least = -(-percent * (n + m) // (100 + percent))  # of common tokens
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= n + m - 2 * least))
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, sketched: bool) -> DataFrame:
+    """The linked pairs (a, b); ``sketched`` tells that sketches have been compared."""
+
+    def sides(frame: DataFrame, column: str) -> DataFrame:
+        left = sets.select(F.col("class").alias("a"), "n", "alone", column)
+        right = sets.select(
+            F.col("class").alias("b"), F.col("n").alias("n2"), F.col("alone").alias("alone2"), F.col(column).alias(f"{column}2")
+        )
+        return frame.join(left, "a").join(right, "b")
+
+    near = written(pairs if sketched else sides(pairs, "sketch").mapInArrow(_may_link(percent), "a long, b long"), "near-pairs")
+    checked = sides(near, "tokens").mapInArrow(_verify(percent), "a long, b long, linked boolean")
+    return written(checked.where("linked").select("a", "b"), "links")
 
 
-def _as_pair(frame: DataFrame, a: str, b: str) -> DataFrame:
-    return frame.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+def _one_list_of_each(postings: DataFrame) -> DataFrame:
+    """Of tokens that the same sets hold, the first in order 1. The first token that two sets share is
+    the first of its kind, so no pair loses it."""
+    lists = postings.groupBy("token").agg(
+        F.count("*").alias("held"), F.bit_xor(F.xxhash64("class")).alias("x"), F.sum(F.xxhash64(F.lit(5), "class") % (1 << 40)).alias("y")
+    )
+    firsts = lists.where("held > 1").groupBy("held", "x", "y").agg(F.min("token").alias("token"))
+    return written(postings.join(firsts.select("token"), "token"), "posting-lists")
 
 
-def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Verified links (a, b) that connect all that is connected; None if there are no candidates."""
+def _possible(percent: int) -> F.Column:
+    """Whether two sets that share a token first at these places can have enough in common."""
+    least = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent) - 1e-9)
+    return (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (
+        F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= least
+    )
+
+
+def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the sets that verified links connect; no link between components is lost."""
     spark = sets.sparkSession
+    postings = _one_list_of_each(postings)
     total = postings.count()
-    tested = spark.createDataFrame([], "a long, b long, linked boolean")
+    links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, label long")
+    useful = True
     for turn in range(STAR_ROUNDS + 1):
         rows = postings.join(labels, F.col("class") == F.col("node"), "left").select(
-            "token", "class", "n", F.coalesce("label", "class").alias("label")
+            "token", "class", "n", "place", F.coalesce("label", "class").alias("label")
         )
         lists = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         rows = written(rows.join(lists.select("token"), "token"), "open-postings")
@@ -253,20 +389,26 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame | No
         crossing = (by_label.agg(F.sum("crossing")).first()[0] or 0) // 2
         if not crossing:
             break
-        last = crossing <= total or turn == STAR_ROUNDS
+        last = crossing <= total or not useful or turn == STAR_ROUNDS
         if last:
-            other = rows.select("token", F.col("class").alias("c2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-            pairs = rows.join(other, "token").where((F.col("class") < F.col("c2")) & (F.col("label") != F.col("l2")))
+            pairs = _open_pairs(rows.join(sets.select("class", "alone", "sketch"), "class"), percent)
         else:
-            first = rows.groupBy("token").agg(
-                F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "n", "label")).alias("head")
-            ).select("token", F.col("head.class").alias("c2"), F.col("head.n").alias("n2"), F.col("head.label").alias("l2"))
-            pairs = rows.join(first, "token").where(F.col("label") != F.col("l2"))
-        pairs = _as_pair(pairs.where(_near("n", "n2", percent)), "class", "c2").join(tested, ["a", "b"], "left_anti")
-        tested = tested.unionByName(written(_verified(pairs, sets, percent), "links"))
-        labels = components(tested.where("linked").select("a", "b"))
+            chance = F.xxhash64("class", F.lit(turn))
+            first = rows.groupBy("token", F.pmod(chance, F.lit(HEADS)).alias("slot")).agg(
+                F.min(F.struct(chance, "class", "n", "place", "label")).alias("head")
+            ).select(
+                "token", F.col("head.class").alias("c2"), F.col("head.n").alias("n2"),
+                F.col("head.place").alias("place2"), F.col("head.label").alias("l2"),
+            )
+            pairs = rows.join(first, "token").where((F.col("label") != F.col("l2")) & _possible(percent)).select(
+                F.least("class", "c2").alias("a"), F.greatest("class", "c2").alias("b")
+            ).distinct()
+        found = _verified(pairs, sets, percent, sketched=last)
+        links = links.unionByName(found)
+        labels = components(links)
         if last:
             break
+        useful = found.count() * USEFUL > total
     return labels
 
 
@@ -293,11 +435,11 @@ def similarity_classes(
     owned = classes.select("class", "n").mapInArrow(_with_part(parts), "class long, n long, bucket int")
     sets = written(
         owned.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(
-            _survivors(percent), "class long, n long, alone long, tokens binary"
+            _survivors(percent), "class long, n long, alone long, sketch binary, tokens binary"
         ),
         "sets",
     )
-    postings = written(sets.mapInArrow(_postings(percent), "token long, class long, n long"), "postings")
+    postings = written(sets.mapInArrow(_postings(percent), "token long, class long, n long, place long"), "postings")
     labels = _links(postings, sets, percent)
     group = classes.join(labels, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
     leaders = group.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("first").alias("first"))

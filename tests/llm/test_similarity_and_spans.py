@@ -66,9 +66,10 @@ def plain(rows):
     return sorted((tuple(r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 12])
-def test_components_equal_brute_force(spark, monkeypatch, rounds):
+@pytest.mark.parametrize(("rounds", "block"), [(0, 1024), (0, 5), (1, 5), (12, 1024)])
+def test_components_equal_brute_force(spark, monkeypatch, rounds, block):
     monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
     assert plain(jaccard_join.jaccard_components(df).collect()) == plain(brute_components(rows))
