@@ -293,12 +293,14 @@ def _lost(regions: DataFrame, length: int, shard_regions: int) -> DataFrame:
     firsts = spans.groupBy("span").agg(F.min("id").alias("first_id"))
     large = spans.join(firsts, "span").where("first_id < id").groupBy("anchor", "content").agg(F.collect_list("offset").alias("offsets"))
     offsets = small.unionByName(large)
-    whole = regions.join(distinct.select("anchor", "content", "least"), ["anchor", "content"])
-    later = whole.where("id > least").select("key", "start", (F.col("start") + F.col("spans") + length - 1).alias("stop"))
-    first = whole.where("id = least").join(offsets, ["anchor", "content"]).select(
-        "key", F.explode(F.transform("offsets", lambda k: F.col("start") + k)).alias("start")
+    verdicts = written(
+        distinct.select("anchor", "content", "least").join(offsets, ["anchor", "content"], "left"), "region-verdicts"
     )
-    return later.unionByName(first.select("key", "start", (F.col("start") + length).alias("stop")))
+    one = F.array(F.struct(F.col("start"), (F.col("start") + F.col("spans") + length - 1).alias("stop")))
+    some = F.transform("offsets", lambda k: F.struct((F.col("start") + k).alias("start"), (F.col("start") + k + length).alias("stop")))
+    # the only join that carries all regions: where one content is frequent, Spark splits its rows
+    judged = regions.select("anchor", "content", "key", "id", "start", "spans").join(verdicts, ["anchor", "content"])
+    return judged.select("key", F.inline(F.when(F.col("id") > F.col("least"), one).otherwise(some)))
 
 
 def repeated_spans_cut(
