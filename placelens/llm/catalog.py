@@ -14,6 +14,7 @@ from . import (
     jaccard_join,
     language_evidence,
     latent_decontamination,
+    license_scan,
     suffix_spans,
     token_files,
 )
@@ -57,6 +58,11 @@ def op4_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.duplicate_classes(documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document."""
+    return license_scan.license_notices(documents(spark, sf_dir))
+
+
 def op7_suffix_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without spans of 50 words that an earlier one holds."""
     return suffix_spans.repeated_spans_cut(documents(spark, sf_dir)).drop("kept")
@@ -143,6 +149,7 @@ QUERIES = {
     "op3_language_evidence": op3_language_evidence,
     "op4_grace_dedup": op4_grace_dedup,
     "op5_latent_decontamination": op5_latent_decontamination,
+    "op6_license_scan": op6_license_scan,
     "op7_suffix_spans": op7_suffix_spans,
     "op8_backtrack_bpe": op8_backtrack_bpe,
     "op9_chat_format": op9_chat_format,
