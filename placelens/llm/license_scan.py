@@ -85,10 +85,11 @@ def align(x: list[str], y: list[str]) -> list[tuple[int, int]]:
 def scan(text: list[str], template: list[str], least: float) -> tuple[float, int, int] | None:
     """(coverage, first word, end) of the best place of the template. Each occurrence of the template's
     rarest word in the text gives a window around it, which is aligned."""
-    counted = Counter(w for w in text if w in set(template))
-    if sum(w in counted for w in set(template)) < least * len(set(template)):
+    own = frozenset(template)
+    counted = Counter(w for w in text if w in own)
+    if sum(counted[w] > 0 for w in template) < least * len(template):
         return None
-    rarest = sorted(set(template), key=lambda w: (counted[w] == 0, counted[w], w))
+    rarest = sorted(own, key=lambda w: (counted[w] == 0, counted[w], w))
     missing = len(template) - int(least * len(template)) + 1
     best = None
     for word in [w for w in rarest if counted[w]][:missing]:  # at least one of these is in any match
@@ -110,7 +111,10 @@ def _scan(templates: dict[str, str], least: float):
             rows = {"doc_id": [], "license": [], "coverage": [], "start_word": [], "end_word": []}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = words(text)
+                seen = set(own)
                 for name, template in cut.items():
+                    if sum(w in seen for w in template) < least * len(template):
+                        continue
                     if (found := scan(own, template, least)) is not None:
                         for c, v in zip(rows, (doc_id, name, *found), strict=True):
                             rows[c].append(v)
