@@ -33,7 +33,8 @@ BUCKETS = 1 << 15  # of trigrams
 TEMPER = 0.4  # trigrams overlap, so they count for less than independent ones
 PRIOR_WEIGHT = 20.0  # documents that a level's parent counts for
 LEAST = 0.5
-UNKNOWN_PRIOR = 1e-4
+UNKNOWN_PRIOR = 1e-9
+_LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -44,7 +45,8 @@ def _trigrams(content: bytes) -> np.ndarray:
 
 
 def _content(text: str) -> bytes:
-    return text.lower().encode()
+    """Lower case; digits and ASCII punctuation say nothing about the language and count as blanks."""
+    return b" ".join(text.lower().encode().translate(_LETTERS).split())
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +70,7 @@ def fit_text_model(docs: DataFrame, text: str, lang: str, doc_id: str, sample: i
     """Languages and, for each bucket, the log-probability in each of them (and ``und`` at the end).
 
     The sample is the documents of the ``sample`` smallest hashes of the id."""
+    ship(docs.sparkSession)
     named = docs.select(
         F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")
     ).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
