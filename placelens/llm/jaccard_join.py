@@ -171,18 +171,20 @@ def _sketch(tokens: np.ndarray) -> bytes:
 
 
 def _survivors(percent: int):
-    """Sets with a shared token in their prefix: (class, n, own tokens, shared tokens in order 1)."""
-    schema = pa.schema(
-        [("class", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.binary())]
-    )
+    """Sets with a shared token in their prefix: (class, n, own tokens, shared tokens in order 1, how many
+    sets hold those of the prefix)."""
+    schema = pa.schema([
+        ("class", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.binary()),
+        ("dfs", pa.binary()),
+    ])
 
     def run(classes: pa.Table, entries: pa.Table) -> pa.Table:
-        rows = {"class": [], "n": [], "alone": [], "sketch": [], "tokens": []}
+        rows = {c: [] for c in schema.names}
         if classes.num_rows and entries.num_rows:
             size = dict(zip(classes.column("class").to_pylist(), classes.column("n").to_pylist(), strict=True))
             owner, token, df = _unpacked(entries)
             order = np.lexsort((token, df, owner))
-            owner, token = owner[order], token[order]
+            owner, token, df = owner[order], token[order], df[order]
             for a, shared in zip(*_runs(owner), strict=True):
                 n = size[int(owner[a])]
                 if n - shared < _prefix(n, percent):
@@ -191,6 +193,8 @@ def _survivors(percent: int):
                     rows["alone"].append(int(n - shared))
                     rows["sketch"].append(_sketch(token[a: a + shared]))
                     rows["tokens"].append(pack48(token[a: a + shared]))
+                    prefix = min(int(shared), _prefix(n, percent) - int(n - shared))
+                    rows["dfs"].append(df[a: a + prefix].astype("<u4").tobytes())
         return pa.Table.from_pydict(rows, schema)
 
     return run
@@ -204,14 +208,16 @@ def _postings(percent: int):
                 for n, alone, tokens in zip(*(batch.column(c).to_pylist() for c in ("n", "alone", "tokens")), strict=True)
             ]
             lengths = [len(x) for x in found]
+            dfs = np.frombuffer(b"".join(batch.column("dfs").to_pylist()), "<u4")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).astype(np.int64)),
                     pa.array(np.repeat(batch.column("class").to_numpy(), lengths)),
                     pa.array(np.repeat(batch.column("n").to_numpy(), lengths)),
                     pa.array(np.concatenate([*(k + np.arange(m) for k, m in zip(batch.column("alone").to_pylist(), lengths, strict=True)), np.empty(0, np.int64)]).astype(np.int64)),
+                    pa.array(dfs.astype(np.int64)),
                 ],
-                names=["token", "class", "n", "place"],
+                names=["token", "class", "n", "place", "df"],
             )
 
     return run
@@ -352,13 +358,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, sketched: bool) -
 
 
 def _one_list_of_each(postings: DataFrame) -> DataFrame:
-    """Of tokens that the same sets hold, the first in order 1. The first token that two sets share is
-    the first of its kind, so no pair loses it."""
+    """Of tokens that the same sets hold in their prefixes, the first in order 1, which is by ``df``: sets
+    without the token in their prefix count there too, so tokens of a kind may differ in it. The first
+    token that two sets share is the first of its kind, so no pair loses it or its place."""
     lists = postings.groupBy("token").agg(
-        F.count("*").alias("held"), F.bit_xor(F.xxhash64("class")).alias("x"), F.sum(F.xxhash64(F.lit(5), "class") % (1 << 40)).alias("y")
+        F.first("df").alias("df"), F.count("*").alias("held"), F.bit_xor(F.xxhash64("class")).alias("x"), F.sum(F.xxhash64(F.lit(5), "class") % (1 << 40)).alias("y")
     )
-    firsts = lists.where("held > 1").groupBy("held", "x", "y").agg(F.min("token").alias("token"))
-    return written(postings.join(firsts.select("token"), "token"), "posting-lists")
+    firsts = lists.where("held > 1").groupBy("held", "x", "y").agg(F.min(F.struct("df", "token")).alias("first"))
+    return written(postings.join(firsts.select("first.token"), "token").drop("df"), "posting-lists")
 
 
 def _possible(percent: int) -> F.Column:
@@ -435,11 +442,11 @@ def similarity_classes(
     owned = classes.select("class", "n").mapInArrow(_with_part(parts), "class long, n long, bucket int")
     sets = written(
         owned.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(
-            _survivors(percent), "class long, n long, alone long, sketch binary, tokens binary"
+            _survivors(percent), "class long, n long, alone long, sketch binary, tokens binary, dfs binary"
         ),
         "sets",
     )
-    postings = written(sets.mapInArrow(_postings(percent), "token long, class long, n long, place long"), "postings")
+    postings = written(sets.mapInArrow(_postings(percent), "token long, class long, n long, place long, df long"), "postings")
     labels = _links(postings, sets, percent)
     group = classes.join(labels, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
     leaders = group.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("first").alias("first"))

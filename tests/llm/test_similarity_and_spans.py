@@ -75,6 +75,24 @@ def test_components_equal_brute_force(spark, monkeypatch, rounds, block):
     assert plain(jaccard_join.jaccard_components(df).collect()) == plain(brute_components(rows))
 
 
+@pytest.mark.parametrize("rounds", [0, 12])
+def test_short_near_copies_quoted_in_long_documents(spark, monkeypatch, rounds):
+    """The quoted shingles stand in more sets than the first common one, though not in the prefix of a third."""
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", rounds)
+    rng, texts = random.Random(4), []
+    for k in range(30):
+        common = [f"q{k}.{j}" for j in range(28)]
+        for side in "ab":
+            texts.append(" ".join([*common, *(f"{side}{k}.{j}" for j in range(4))]))
+        quoted = common[: rng.choice([27, 25, 20])] if k % 3 else common[1:]
+        texts.append(" ".join([*(f"c{k}.{j}" for j in range(200)), *quoted]))
+    rows = [(k, t, k, 1, "k", None) for k, t in enumerate(texts)]
+    want = brute_components(rows)
+    assert sum(r[0] != r[2] for r in want) == 30
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    assert plain(jaccard_join.jaccard_components(df).collect()) == plain(want)
+
+
 def test_one_row_of_each_component_stays(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
