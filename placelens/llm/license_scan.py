@@ -16,6 +16,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "ARR": "All rights reserved",
 }
+SHORT = 10  # words; each of a shorter template may be the license's name, so all must be there, and close
 
 
 def words(text: str | None) -> list[str]:
@@ -82,26 +84,145 @@ def align(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def scan(text: list[str], template: list[str], least: float) -> tuple[float, int, int] | None:
-    """(coverage, first word, end) of the best place of the template. Each occurrence of the template's
-    rarest word in the text gives a window around it, which is aligned."""
-    own = frozenset(template)
-    counted = Counter(w for w in text if w in own)
-    if sum(counted[w] > 0 for w in template) < least * len(template):
-        return None
-    rarest = sorted(own, key=lambda w: (counted[w] == 0, counted[w], w))
-    missing = len(template) - int(least * len(template)) + 1
-    best = None
-    for word in [w for w in rarest if counted[w]][:missing]:  # at least one of these is in any match
-        for at in (k for k, w in enumerate(text) if w == word):
-            start = max(0, at - 2 * len(template))
-            found = align(text[start: at + 2 * len(template)], template)
-            share = len(found) / len(template)
-            if found and share >= least and (best is None or share > best[0]):
-                best = (share, start + found[0][0], start + found[-1][0] + 1)
-        if best and best[0] == 1.0:
-            break
-    return best
+def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence, as far to the left in ``x`` as it goes."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(y))}
+    codes = np.array([number.get(w, -1) for w in x], np.int32)
+    rows = np.zeros((len(y) + 1, len(x) + 1), np.int32)
+    for k, w in enumerate(y):
+        rows[k + 1, 1:] = np.maximum.accumulate(np.maximum(rows[k, 1:], rows[k, :-1] + (codes == number[w])))
+    out, i, k = [], len(x), len(y)
+    while i and k:
+        if rows[k, i] == rows[k, i - 1]:
+            i -= 1
+        elif rows[k, i] == rows[k - 1, i]:
+            k -= 1
+        else:
+            i, k = i - 1, k - 1
+            out.append((i, k))
+    return out[::-1]
+
+
+def _after(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Aligned places of what follows an anchor: first what is equal at once, then by anchors up to the
+    last one, then, where no word is unique, a longest common subsequence close to it."""
+    k = 0
+    while k < min(len(x), len(y)) and x[k] == y[k]:
+        k += 1
+    out = [(j, j) for j in range(k)]
+    x, y, at = x[k:], y[k:], k
+    if not y or not x:
+        return out
+    once_x, once_y = Counter(x), Counter(y)
+    where = {w: j for j, w in enumerate(y) if once_y[w] == 1}
+    kept = _increasing([(j, where[w]) for j, w in enumerate(x) if once_x[w] == 1 and w in where])
+    a = c = 0
+    for p, q in kept:
+        gap = align(x[a:p], y[c:q]) or _common(x[a:p], y[c:q])
+        out += [(at + a + i, at + c + j) for i, j in gap] + [(at + p, at + q)]
+        a, c = p + 1, q + 1
+    return out + [(at + a + i, at + c + j) for i, j in _common(x[a:], y[c:])]
+
+
+def _around(text: list[str], template: list[str], at: int, place: int, low: int, high: int) -> list[tuple[int, int]]:
+    """Aligned places when word ``at`` of the text is word ``place`` of the template, in text[low:high]."""
+    before = _after(text[low:at][::-1], template[:place][::-1])
+    after = _after(text[at + 1: high], template[place + 1:])
+    return [*((at - 1 - i, place - 1 - k) for i, k in reversed(before)), (at, place), *((at + 1 + i, place + 1 + k) for i, k in after)]
+
+
+def _compact(pairs: list[tuple[int, int]], need: float) -> list[tuple[int, int]]:
+    """The run of pairs with the most words aligned less words of the text between them, if that is enough;
+    so what is missing from a notice isn't taken from another one."""
+    best = value = first = 0
+    kept = (0, 0)
+    for k, (at, _) in enumerate(pairs):
+        value -= at - pairs[k - 1][0] - 1 if k else 0
+        if value <= 0:
+            value, first = 0, k
+        value += 1
+        if value > best:
+            best, kept = value, (first, k + 1)
+    return pairs[slice(*kept)] if kept[1] - kept[0] >= need else pairs
+
+
+def _candidates(text: list[str], low: int, high: int, template: list[str], least: float) -> list[tuple[float, int, int]]:
+    """Places of the template in text[low:high], which may overlap. Each occurrence of the word of a
+    rare place of the template gives a window, once whole and once cut at the word's next occurrences: a notice that is
+    repeated close by is then still aligned with one copy of itself."""
+    own: dict[str, list[int]] = {}
+    for k, w in enumerate(template):
+        own.setdefault(w, []).append(k)
+    at_of: dict[str, list[int]] = {}
+    for k in range(low, high):
+        if text[k] in own:
+            at_of.setdefault(text[k], []).append(k)
+    if sum(len(own[w]) for w in at_of) < least * len(template):
+        return []
+    size, need = len(template), least * len(template)
+    missing = size - int(need) + 1
+    total = Counter(template)
+    if sum(min(len(at_of[w]), total[w]) for w in at_of) < need:
+        return []
+    rare = sorted(range(size), key=lambda k: (len(at_of.get(template[k], ())), k))
+    out: list[tuple[float, int, int]] = []
+    aligned: set[tuple[int, int]] = set()  # of places found
+    perfect = bytearray(high - low)
+    for place in rare[:missing]:  # at least one of these is in any match
+        found = at_of.get(template[place], [])
+        for k, at in enumerate(found):
+            if (at, place) in aligned or perfect[at - low]:
+                continue
+            wide = (max(low, at - 2 * size), min(high, at + 2 * size))
+            cut = (max(wide[0], found[k - 1] + 1 if k else low), min(wide[1], found[k + 1] if k + 1 < len(found) else high))
+            for a, b in dict.fromkeys((cut, wide)):
+                if (Counter(text[a:b]) & total).total() < need:
+                    continue
+                pairs = _compact(_around(text, template, at, place, a, b), need)
+                start, end = pairs[0][0], pairs[-1][0] + 1
+                if len(pairs) < need or size < SHORT and (len(pairs) < size or end - start > 2 * size):
+                    continue
+                out.append((len(pairs) / size, start, end))
+                aligned.update(pairs)
+                if len(pairs) == size == end - start:
+                    perfect[start - low: end - low] = b"\1" * size
+                    break
+    return out
+
+
+def scan(text: list[str], template: list[str], least: float) -> list[tuple[float, int, int]]:
+    """(coverage, first word, end) of the places of the template, by place. Of places that overlap the one
+    with the fewest words missing or inserted, then the first counts; what is left of the text between them is searched again."""
+    out, parts = [], [(0, len(text))] if template else []
+    while parts:
+        low, high = parts.pop()
+        taken: list[tuple[float, int, int]] = []
+        for new in sorted(_candidates(text, low, high, template, least), key=lambda p: (p[2] - p[1] - 2 * p[0] * len(template), p[1])):
+            k = bisect_left(taken, new[1], key=lambda p: p[1])
+            if (k == 0 or taken[k - 1][2] <= new[1]) and (k == len(taken) or new[2] <= taken[k][1]):
+                taken.insert(k, new)
+        if taken:
+            ends = [low, *(x for _, a, b in taken for x in (a, b)), high]
+            parts += [(a, b) for a, b in zip(ends[::2], ends[1::2], strict=True) if a < b]
+            out += taken
+    return sorted(out, key=lambda p: p[1])
+
+
+def notices(own: list[str], templates: dict[str, list[str]], least: float) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, first word, end) of all places. Where templates overlap, the one with more
+    words found counts: a whole text and not its first sentence, BY-NC and not BY."""
+    seen, places = set(own), []
+    for name, template in templates.items():
+        if template[0] not in seen and len(template) < SHORT:
+            continue
+        if sum(w in seen for w in template) >= (least if len(template) >= SHORT else 1.0) * len(template):
+            places += [(round(c * len(template)), c, a, b, name.split("#")[0]) for c, a, b in scan(own, template, least)]
+    kept: list[tuple[int, int, float, str]] = []
+    for _, c, a, b, name in sorted(places, key=lambda p: (-p[0], -p[1], p[3] - p[2], p[2], p[4])):
+        k = bisect_left(kept, (a,))
+        if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or b <= kept[k][0]):
+            kept.insert(k, (a, b, c, name))
+    return [(name, c, a, b) for a, b, c, name in kept]
 
 
 def _scan(templates: dict[str, str], least: float):
@@ -111,13 +232,9 @@ def _scan(templates: dict[str, str], least: float):
             rows = {"doc_id": [], "license": [], "coverage": [], "start_word": [], "end_word": []}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = words(text)
-                seen = set(own)
-                for name, template in cut.items():
-                    if sum(w in seen for w in template) < least * len(template):
-                        continue
-                    if (found := scan(own, template, least)) is not None:
-                        for c, v in zip(rows, (doc_id, name, *found), strict=True):
-                            rows[c].append(v)
+                for found in notices(own, cut, least):
+                    for c, v in zip(rows, (doc_id, *found), strict=True):
+                        rows[c].append(v)
             yield pa.RecordBatch.from_pydict(rows, pa.schema([
                 ("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()),
                 ("start_word", pa.int64()), ("end_word", pa.int64()),
@@ -129,7 +246,7 @@ def _scan(templates: dict[str, str], least: float):
 def license_notices(
     docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = COVERAGE, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """(doc_id, license, coverage, start_word, end_word) of every template found in a document."""
+    """(doc_id, license, coverage, start_word, end_word) of every notice in a document; they don't overlap."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from placelens.llm import license_scan
 
 
@@ -22,3 +23,20 @@ def test_planted_notices(spark):
     assert sorted(((r["doc_id"], r["coverage"]) for r in found), key=repr) == [(1, 1.0), (2, 1.0), (7, 1.0), (None, 1.0)]
     assert {r["doc_id"]: (r["start_word"], r["end_word"]) for r in found}[1] == (100, 112)
     assert license_scan.license_notices(df.limit(0)).count() == 0
+
+
+CUT = {name: license_scan.words(t) for name, t in license_scan.TEMPLATES.items()}
+
+
+def found(text):
+    return license_scan.notices(license_scan.words(text), CUT, license_scan.COVERAGE)
+
+
+@pytest.mark.parametrize(("line", "license"), [
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("All rights reserved.", "ARR"),
+])
+@pytest.mark.parametrize("times", [1, 2, 5])
+def test_repeated_notices_are_all_found(line, license, times):
+    got = found("x y z " * 20 + (line + "\n") * times + "x y z " * 20 + line + " x y" * 30)
+    n = len(license_scan.words(line))
+    assert [(g[0], g[1], g[2]) for g in got] == [(license, 1.0, 60 + n * k) for k in range(times)] + [(license, 1.0, 120 + n * times)]
