@@ -5,7 +5,8 @@ increasing subsequence is kept, and the gaps between neighbouring anchors are al
 where more words are unique. Before and after each gap equal words are matched directly. The coverage is
 the share of the template's words that are aligned.
 
-Templates are a bounded list given by the caller. Defined results: null and empty texts match nothing;
+Templates are a bounded list given by the caller; ``TEMPLATES`` holds whole texts (MIT, BSD with three
+clauses, Apache 2.0, GPL 2 and 3) and short notices. Licenses outside it are not found. Defined results: null and empty texts match nothing;
 repeated rows are all returned; an empty table gives no rows; other columns are not looked at.
 """
 
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import license_texts
 
 COVERAGE = 0.8
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
-# Short notices of public licenses.
+# Fixed values. A template is named by the SPDX name of its license, with "#" and a kind where there are
+# several: opening sentences, whole texts, and short notices under the names that are in use.
 TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -35,7 +38,33 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "ARR": "All rights reserved",
+    "MIT#text": license_texts.MIT,
+    "BSD-3-Clause#text": license_texts.BSD_3,
+    "Apache-2.0#text": license_texts.APACHE_2,
+    "GPL-2.0#text": license_texts.GPL_2,
+    "GPL-3.0#text": license_texts.GPL_3,
 }
+_CREATIVE = {
+    "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+TEMPLATES |= {f"CC-{k}-4.0": f"This work is licensed under a Creative Commons {v} 4.0 International License" for k, v in _CREATIVE.items()}
+NAMES = {
+    "MIT": ["MIT License"],
+    "BSD": ["BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3"],
+    **{f"CC-{k}-4.0": [f"CC {k} 4.0"] for k in ("BY", "BY-SA", *_CREATIVE)},
+}
+for _license, _names in NAMES.items():
+    for _k, _name in enumerate(_names):
+        for _verb in ("released", "licensed", "distributed", "available"):
+            TEMPLATES[f"{_license}#{_verb} {_k}"] = f"{_verb} under {_name}"
+    if _license != "BSD":
+        TEMPLATES[f"{_license}#spdx"] = f"SPDX-License-Identifier: {_license}"
 SHORT = 10  # words; each of a shorter template may be the license's name, so all must be there, and close
 
 

@@ -32,7 +32,14 @@ def found(text):
     return license_scan.notices(license_scan.words(text), CUT, license_scan.COVERAGE)
 
 
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_every_template_is_found_once_with_its_license(name):
+    text = "one two three. " + license_scan.TEMPLATES[name] + " four five."
+    assert found(text) == [(name.split("#")[0], 1.0, 3, 3 + len(CUT[name]))]
+
+
 @pytest.mark.parametrize(("line", "license"), [
+    ("Released under the MIT License.", "MIT"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
     ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("All rights reserved.", "ARR"),
 ])
 @pytest.mark.parametrize("times", [1, 2, 5])
@@ -40,3 +47,13 @@ def test_repeated_notices_are_all_found(line, license, times):
     got = found("x y z " * 20 + (line + "\n") * times + "x y z " * 20 + line + " x y" * 30)
     n = len(license_scan.words(line))
     assert [(g[0], g[1], g[2]) for g in got] == [(license, 1.0, 60 + n * k) for k in range(times)] + [(license, 1.0, 120 + n * times)]
+
+
+def test_changed_whole_texts_are_aligned():
+    for name in ("MIT#text", "Apache-2.0#text"):
+        w = list(CUT[name])
+        for k in range(7, len(w), 12):
+            w[k] = f"changed{k}"
+        got = found(" ".join(["start", *w, "middle", *w, "end"]))
+        assert [g[0] for g in got] == [name.split("#")[0]] * 2 and all(0.85 < g[1] < 1 for g in got)
+    assert found("Licensed under the Foo License. Permission is granted to nobody under version 3.") == []
