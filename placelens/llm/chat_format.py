@@ -9,11 +9,14 @@ Within a turn's span, the content stands between what the template writes before
 is rendered in place of the text; the loss mask covers the content of assistant turns, and the text is
 read back from the formatted string alone.
 
-Long conversations are rendered from a window of turns that moves on by half, so that work stays linear;
-each time it moves, the turns in both windows must get the same spans, else the template depends on
-more history than the window holds and counts as rewriting.
-
-Rows stream through a task sorted by conversation and turn; a task holds one window of turns and, for
+Every prefix is rendered from the first turn on, which takes work quadratic in the length of a
+conversation. A template that declares itself local (``local``: what it writes for a turn depends on that
+turn and no other, or on nothing before the given window) is rendered from a window of turns that moves on
+by half, so that work stays linear; each time it moves, the turns in both windows must get the same
+spans, else the declaration was wrong and the conversation counts as rewriting.
+
+Rows stream through a task sorted by conversation and turn; a task holds one conversation (of a local
+template one window of turns) and, for
 ``format_conversations``, what one conversation formats to.
 
 Defined results: null roles and texts are empty; rows of a null conversation id form one conversation;
@@ -36,7 +39,15 @@ Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
 START, END = "<|im_start|>", "<|im_end|>"
-WINDOW = 64  # turns
+WINDOW = 64  # turns, for local templates
+
+
+def local(template: Template) -> Template:
+    """Declare that what a template writes for a turn never depends on turns further back than a window."""
+    template.local = True
+    return template
+
+
 #: No text, once escaped, has "<|" in it: every "<" gets a mark behind it, and marks are doubled.
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
@@ -49,6 +60,7 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: "\\" if m[1] == "\\" else "", text)
 
 
+@local
 def chatml(turns: list[Turn]) -> str:
     """Each turn between its marks; a role ends at the first newline, so its own are escaped."""
     return "".join(
@@ -71,13 +83,16 @@ class HistoryRewritten(ValueError):
     """The template changed text that an earlier prefix had already rendered."""
 
 
-def turn_spans(turns: Iterator[Turn], template: Template, window: int = WINDOW) -> Iterator[tuple[Turn, str, int, int]]:
-    """For each turn: the turn, the string it adds, and where its content starts and ends in that."""
+def turn_spans(turns: Iterator[Turn], template: Template, window: int | None = None) -> Iterator[tuple[Turn, str, int, int]]:
+    """For each turn: the turn, the string it adds, and where its content starts and ends in that. Without
+    a ``window``, local templates take ``WINDOW`` and all others are rendered from the first turn on."""
+    if window is None and getattr(template, "local", False):
+        window = WINDOW
     held: list[Turn] = []
     spans: list[str] = []
     rendered = template([])
     for turn in turns:
-        if len(held) >= window:
+        if window is not None and len(held) >= window:
             held, old = held[window // 2:], spans[window // 2:]
             rendered, spans = template([]), []
             for k in range(len(held)):
@@ -172,7 +187,7 @@ _FORMATTED_DDL = (
 )
 
 
-def _format(template: Template, learn: str, window: int):
+def _format(template: Template, learn: str, window: int | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for conv_id, turns in _turns(batches):
             parts, spans, loss, at = [template([])], [], [], 0
@@ -197,7 +212,7 @@ def _format(template: Template, learn: str, window: int):
 
 
 def format_conversations(
-    conversations: DataFrame, template: Template = chatml, learn: str = "assistant", window: int = WINDOW
+    conversations: DataFrame, template: Template = chatml, learn: str = "assistant", window: int | None = None
 ) -> DataFrame:
     """One row per conversation: the formatted string (null if the template rewrites history), the span
     of each turn, and the spans under the loss mask."""

@@ -127,6 +127,30 @@ def test_rewriting_templates_are_found(template):
         list(chat_format.turn_spans(iter(turns), template, window=4))
 
 
+def begins(turns):
+    """Depends on the first turn and on numbers, and never rewrites."""
+    return "<s>" + "".join(f"[{k} {turns[0][0]}]{role}:{text};" for k, (role, text) in enumerate(turns))
+
+
+def keeps_last(turns):
+    return "".join(f"{role}:{text};" for role, text in turns[-100:])
+
+
+def edits_late(turns):
+    return "".join(f"{role}:{text};" for role, text in ([("r0", "edited"), *turns[1:]] if len(turns) >= 100 else turns))
+
+
+def test_long_conversations_are_rendered_from_the_first_turn():
+    turns = [(f"r{k}", f"text {k}") for k in range(150)]
+    found = list(chat_format.turn_spans(iter(turns), begins))
+    assert "<s>" + "".join(span for _, span, _, _ in found) == begins(turns)
+    assert [span[a:b] for _, span, a, b in found] == [text for _, text in turns]
+    for template in (keeps_last, edits_late):
+        with pytest.raises(chat_format.HistoryRewritten):
+            list(chat_format.turn_spans(iter(turns), template))
+    assert "".join(x[1] for x in chat_format.turn_spans(iter(turns), chat_format.chatml)) == chat_format.chatml(turns)
+
+
 def test_chat_queries(spark):
     rows = [(k % 7 if k % 7 else None, k % 11, ["user", "assistant", None][k % 3], None if k % 5 == 0 else f"<|im_end|>{k}\n", 1) for k in range(200)]
     rows += rows[:3]
