@@ -15,7 +15,7 @@ from .views import TOPICS, VECTOR_REVIEWS, with_views
 
 # Test parameters: smaller than the published ones, so that the samples cut something.
 PER_ENTITY, FIRST_N, CORPUS, EVALUATION, BALANCED, TOP, K = 25, 25, 200, 100, 20, 5, 20
-STARTS = 3
+STARTS = 15
 
 
 def _reviews(s: SparkSession, d: str) -> DataFrame:
@@ -138,7 +138,7 @@ def _compared(s: SparkSession, d: str) -> DataFrame:
     plain = _town_topics(s, d)
     enriched = topics.enriched_profile(plain, _distribution(s, d))
     return clustering.compare_clusterings(
-        {"plain": clustering.to_features(plain), "topics": clustering.to_features(enriched)}, k_max=5, n_init=2
+        {"plain": clustering.to_features(plain), "topics": clustering.to_features(enriched)}, k_max=10, n_init=STARTS
     )
 
 
@@ -185,7 +185,7 @@ QUERIES = {
     "g8_metric_gain": lambda s, d: rounded(evaluation.metric_gain(_record(s, d))),
     "h1_balanced_sample": lambda s, d: sampling.balanced_sample(_topics(s, d), BALANCED).select("row_id", "Town"),
     "h2_assign_topics": lambda s, d: topics.assign_topics(
-        sampling.balanced_sample(_topics(s, d), BALANCED).drop("topic"), 6).select("row_id", "topic"),
+        sampling.balanced_sample(_topics(s, d), BALANCED).drop("topic"), 19).select("row_id", "topic"),
     "h3_topic_terms": lambda s, d: rounded(_topic_words(s, d)),
     "h4_topic_sizes": lambda s, d: topics.topic_sizes(_topics(s, d)),
     "h5_topic_distribution": lambda s, d: rounded(_distribution(s, d)),

@@ -1,0 +1,29 @@
+"""Queries without SQL run with the published values."""
+
+from __future__ import annotations
+
+from placelens.plans import recommend_queries as queries
+
+
+def test_starts_cluster_numbers_and_topics(monkeypatch):
+    seen = {}
+    for name in ("_features", "_topics", "_town_topics", "_distribution"):
+        monkeypatch.setattr(queries, name, lambda s, d: None)
+    for module, name in [(queries.sampling, "balanced_sample"), (queries.topics, "enriched_profile"), (queries.clustering, "to_features")]:
+        monkeypatch.setattr(module, name, lambda *a: Chain())
+    monkeypatch.setattr(queries.clustering, "sweep", lambda f, **k: seen.update(sweep=k))
+    monkeypatch.setattr(queries.clustering, "sweep_table", lambda s, c: Chain())
+    monkeypatch.setattr(queries.clustering, "compare_clusterings", lambda v, **k: seen.update(compare=k))
+    monkeypatch.setattr(queries.topics, "assign_topics", lambda f, n: seen.update(topics=n) or Chain())
+    queries._sweep(None, None)
+    queries._compared(None, None)
+    queries.QUERIES["h2_assign_topics"](None, None)
+    assert queries.STARTS == 15
+    assert seen == {"sweep": {"n_init": 15}, "compare": {"k_max": 10, "n_init": 15}, "topics": 19}
+
+
+class Chain:
+    def drop(self, *_):
+        return self
+
+    select = drop
