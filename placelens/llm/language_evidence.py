@@ -22,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, written
 
 UNKNOWN = "und"
-SAMPLE = 3_000  # labelled documents that the text model is fitted on
+SAMPLE = 1_000  # labelled documents of each language that the text model is fitted on
 BUCKETS = 1 << 15  # of trigrams
 TEMPER = 0.4  # trigrams overlap, so they count for less than independent ones
 PRIOR_WEIGHT = 20.0  # documents that a level's parent counts for
@@ -69,18 +69,19 @@ def _added(table: pa.Table) -> pa.Table:
 def fit_text_model(docs: DataFrame, text: str, lang: str, doc_id: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and, for each bucket, the log-probability in each of them (and ``und`` at the end).
 
-    The sample is the documents of the ``sample`` smallest hashes of the id."""
+    The languages are those of all labelled rows; of each the ``sample`` documents of the smallest hashes of
+    the id are read."""
     ship(docs.sparkSession)
     named = docs.select(
         F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")
     ).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
-    last = named.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    found = []
-    if last is not None:
-        found = (
-            named.where(F.col("h") <= last).select("lang", "text").mapInArrow(_counts, "lang string, counts binary")
-            .groupBy("lang").applyInArrow(_added, "lang string, counts binary").orderBy("lang").collect()
-        )  # a row for each language
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = named.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= sample).groupBy("lang").agg(F.max("h").alias("last"))
+    found = (
+        named.join(F.broadcast(last), "lang").where("h <= last").select("lang", "text")  # a row for each language
+        .mapInArrow(_counts, "lang string, counts binary")
+        .groupBy("lang").applyInArrow(_added, "lang string, counts binary").orderBy("lang").collect()
+    )  # a row for each language
     languages = [r["lang"] for r in found]
     columns = []
     for r in found:

@@ -156,3 +156,14 @@ def test_stage_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rare_languages_have_a_model(spark):
+    russian = "это небольшой город на берегу реки"
+    rows = [(k, "the quick brown fox and the old dog", "en") for k in range(2000)] + [(9_000 + k, f"{russian} {'да ' * k}", "ru") for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    languages, model = language_evidence.fit_text_model(docs, "text", "lang", "doc_id", sample=1)
+    assert languages == ["en", "ru"] and model.shape[1] == 3
+    at = language_evidence._trigrams(language_evidence._content(russian))
+    assert model[at].sum(axis=0).argmax() == 1
+    assert language_evidence.fit_text_model(docs.limit(0), "text", "lang", "doc_id")[0] == []
