@@ -17,6 +17,7 @@ from . import (
     license_scan,
     suffix_spans,
     token_files,
+    trie_pairs,
 )
 
 SHARDS = 40
@@ -91,6 +92,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among all words of seven letters or more, some of them misspelt by a rule."""
+    return trie_pairs.variant_forms(trie_pairs.word_counts(documents(spark, sf_dir), noise=31))
+
+
 OP4_SQL = """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -154,5 +160,6 @@ QUERIES = {
     "op8_backtrack_bpe": op8_backtrack_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_token_files": op10_token_files,
+    "op11_trie_pairs": op11_trie_pairs,
 }
 ORACLE = {"op2_jaccard_join": OP2_SQL, "op4_grace_dedup": OP4_SQL, "op7_suffix_spans": OP7_SQL}
