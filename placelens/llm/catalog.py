@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import (
     backtrack_bpe,
     chat_format,
+    collocations,
     grace_dedup,
     histogram_shards,
     jaccard_join,
@@ -97,6 +98,11 @@ def op11_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_pairs.variant_forms(trie_pairs.word_counts(documents(spark, sf_dir), noise=31))
 
 
+def op12_count_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of every language."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 OP4_SQL = """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -149,6 +155,31 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256
 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 """
 
+OP12_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER_SQL}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:], ' ')),
+cut AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT DISTINCT s.lang, s.phrase
+  FROM c o JOIN c s ON s.lang = o.lang AND s.k < o.k AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * o.a >= 80 * s.a),
+ranked AS (
+  SELECT cut.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM cut ANTI JOIN inside USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_jaccard_join": op2_jaccard_join,
@@ -161,5 +192,6 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_token_files": op10_token_files,
     "op11_trie_pairs": op11_trie_pairs,
+    "op12_count_automata": op12_count_automata,
 }
-ORACLE = {"op2_jaccard_join": OP2_SQL, "op4_grace_dedup": OP4_SQL, "op7_suffix_spans": OP7_SQL}
+ORACLE = {"op2_jaccard_join": OP2_SQL, "op4_grace_dedup": OP4_SQL, "op7_suffix_spans": OP7_SQL, "op12_count_automata": OP12_SQL}
