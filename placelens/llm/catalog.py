@@ -15,6 +15,7 @@ from . import (
     jaccard_join,
     language_evidence,
     latent_decontamination,
+    learned_partitions,
     license_scan,
     suffix_spans,
     token_files,
@@ -103,6 +104,12 @@ def op12_count_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op13_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector, by parts that a classifier chooses."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return learned_partitions.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0)
+
+
 OP4_SQL = """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -193,5 +200,6 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_trie_pairs": op11_trie_pairs,
     "op12_count_automata": op12_count_automata,
+    "op13_learned_partitions": op13_learned_partitions,
 }
 ORACLE = {"op2_jaccard_join": OP2_SQL, "op4_grace_dedup": OP4_SQL, "op7_suffix_spans": OP7_SQL, "op12_count_automata": OP12_SQL}
