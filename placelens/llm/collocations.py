@@ -186,15 +186,16 @@ def _beginnings(phrases: DataFrame, name: str) -> DataFrame:
     asked = table.sparkSession.createDataFrame([(lang, list(words)) for lang, words in wanted], "lang string, words array<string>")
     known = {(r["lang"], tuple(r["words"])): r["f"] for r in table.join(F.broadcast(asked), ["lang", "words"]).select("lang", "words", "f").collect()}
 
+    place = table.columns.index("own")
+
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = table.schema.names.index("own")
         for batch in batches:
-            lists = batch.column(at).to_pylist()
+            lists = batch.column(place).to_pylist()
             for row, counts in enumerate(lists):
                 if None in counts:
                     lang, words = batch.column("lang")[row].as_py(), batch.column("words")[row].as_py()
                     lists[row] = [known[lang, tuple(words[:k + 1])] if n is None else n for k, n in enumerate(counts)]
-            yield batch.set_column(at, "own", pa.array(lists, pa.list_(pa.int64())))
+            yield batch.set_column(place, "own", pa.array(lists, pa.list_(pa.int64())))
 
     return table.mapInArrow(fill, table.schema).drop("part", "at")
 

@@ -60,6 +60,21 @@ def test_against_brute_force(spark, monkeypatch, seed, places):
     assert {tuple(r) for r in collocations.collocations(df, least=5, top=3).collect()} == brute(rows, 5, 3)
 
 
+def test_borders_of_sorted_ranges(spark):
+    """Beginnings of a phrase that stand in an earlier range than it does."""
+    rng = random.Random(4)
+    rows = [("en", t) for t in texts(rng, 200)] + [("en", "x y z w x y z v " * 9)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 30)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small ranges are joined into one
+    try:
+        found = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), least=5)
+        assert {tuple(r) for r in found.collect()} == brute(rows, 5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
     assert collocations.collocations(spark.createDataFrame([(None, None), ("en", "...")], "lang string, text string")).count() == 0
