@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import ship
 
@@ -281,11 +282,11 @@ def _matches(index):
     return run
 
 
-def _without(index, text: str):
+def _without(index, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = index.value
         for batch in batches:
-            yield batch.filter(pa.array([not search(ready, terms(t)) for t in batch.column("the text").to_pylist()], pa.bool_())).drop_columns("the text")
+            yield batch.filter(pa.array([not search(ready, terms(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return run
 
@@ -320,10 +321,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     """The documents in which no item is found, with all their columns."""
     spark = docs.sparkSession
     ship(spark)
-    out = docs
+    # columns go by their place: their own names may hold dots or be equal
+    plain = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)])
+    out = docs.toDF(*plain.names)
     for rows in _blocks(benchmark):
         if (index := build_index(docs, rows, text)) is not None:
-            out = out.select("*", F.col(f"`{text}`").alias("the text")).mapInArrow(
-                _without(spark.sparkContext.broadcast(index), text), docs.schema
-            )
-    return out
+            out = out.mapInArrow(_without(spark.sparkContext.broadcast(index), docs.columns.index(text)), plain)
+    return out.toDF(*docs.columns)
