@@ -29,8 +29,7 @@ from ..session import ship
 from .pieces import CutTexts
 
 MOST_BYTES = 64 << 20  # of a vocabulary file that is sent to the workers
-MOST_PAIRS = 1_000_000
-MOST_PIECES = 200_000
+MOST_PAIRS = 250_000  # of neighbours known to fit or not, about 30 MB
 _NONE = -1
 
 
@@ -55,7 +54,7 @@ class BacktrackEncoder:
         self._shorter = [self._prefix(token) for token in tokens]
         self._merged: dict[tuple[int, int], int] = {}
         self._parts: list[tuple[int, int]] = []
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         #: Tokens that no merges make; they stand only for a piece that they fill.
         self._unmade: set[int] = set()
         for k, token in enumerate(tokens):
@@ -103,7 +102,7 @@ class BacktrackEncoder:
                 return True
 
     def may_follow(self, left: int, right: int) -> bool:
-        pair = (left, right)
+        pair = left * len(self.tokens) + right
         known = self._fits.get(pair)
         if known is None:
             if len(self._fits) >= MOST_PAIRS:
@@ -150,18 +149,11 @@ def _encoder(content: bytes, pattern: str) -> tuple[BacktrackEncoder, CutTexts]:
     """Made once in a worker for each vocabulary and pattern."""
     key = hashlib.sha256(content + pattern.encode()).digest()
     if key not in _MADE:
-        encoder, matches, known = BacktrackEncoder(read_ranks(content)), regex.compile(pattern), {}
+        _MADE.clear()  # a worker holds one
+        encoder, matches = BacktrackEncoder(read_ranks(content)), regex.compile(pattern)
 
         def make(unit: str) -> bytes:
-            out = b""
-            for piece in matches.findall(unit):
-                ids = known.get(piece)
-                if ids is None:
-                    if len(known) >= MOST_PIECES:
-                        known.clear()
-                    ids = known[piece] = array("I", encoder.encode_piece(piece.encode())).tobytes()
-                out += ids
-            return out
+            return b"".join([array("I", encoder.encode_piece(piece.encode())).tobytes() for piece in matches.findall(unit)])
 
         _MADE[key] = encoder, CutTexts(lambda units: [make(unit) for unit in units])
     return _MADE[key]

@@ -13,72 +13,34 @@ from collections.abc import Callable, Iterable, Iterator
 
 _RUNS = re.compile(r"\s\s")
 _BLANK = re.compile(r"(?<=\S)(?= \S)")
-MOST_UNITS = 400_000  # in a generation of a table; a worker holds two, together about 150 MB
+_CUT = "\0"
 PUNCTUATION = ".,;:!?&%$#*)\"|"  # no apostrophe, which may belong to what follows it
-MOST_ENDS = 10_000
+MOST_BYTES = 96 << 20  # of the table that a worker holds, as estimated
+ENTRY_BYTES = 200  # of a unit besides its characters and ids: two objects and their place in the table
 LONG_UNIT = 64  # characters; longer units are not kept
-GROUP_CHARS = 500_000  # of text whose units are looked up together
+GROUP_CHARS = 1_000_000  # of text whose units are looked up together
 
 
-class UnitTable:
-    """Unit to bytes for the units in use. Those not used for a generation are forgotten.
-
-    Punctuation behind a letter is a piece of its own, so a unit with such an end takes the bytes of the
-    unit without it, and those of the end."""
-
-    def __init__(self, make_many: Callable[[list[str]], list[bytes]], before: str = "", most: int = MOST_UNITS) -> None:
-        self._make_many, self._before, self._most = make_many, before, most
-        self.new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._ends: dict[str, bytes] = {}
-
-    def ready(self, units: set[str]) -> dict[str, bytes]:
-        """A table that has all of ``units``."""
-        if len(self.new) >= self._most:
-            self._old, self.new = self.new, {}
-        if len(self._ends) >= MOST_ENDS:
-            self._ends = {}
-        cut = []
-        whole = set()
-        for unit in units.difference(self.new):
-            if unit in self._old:
-                self.new[unit] = self._old[unit]
-                continue
-            stem = unit.rstrip(PUNCTUATION)
-            if stem != unit and stem and stem[-1].isalpha():
-                cut.append((unit, stem, unit[len(stem):]))
-                if stem not in self.new:
-                    if stem in self._old:
-                        self.new[stem] = self._old[stem]
-                    else:
-                        whole.add(stem)
-            else:
-                whole.add(unit)
-        self._make(whole, self.new, self._before)
-        self._make({end for _, _, end in cut if end not in self._ends}, self._ends, "")
-        self.new.update((unit, self.new[stem] + self._ends[end]) for unit, stem, end in cut)
-        return self.new
-
-    def _make(self, units: set[str], table: dict[str, bytes], before: str) -> None:
-        if units:
-            order = list(units)
-            table.update(zip(order, self._make_many([before + unit for unit in order]), strict=True))
-
-    def forget(self, units: Iterable[str]) -> None:
-        for unit in units:
-            self.new.pop(unit, None)
-            stem = unit.rstrip(PUNCTUATION)
-            self.new.pop(stem, None)
-            self._ends.pop(unit[len(stem):], None)
+def units_of(text: str) -> list[str]:
+    """The units of a text, each with the blank before it."""
+    if _CUT in text or _RUNS.search(text):
+        return _BLANK.split(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split(_CUT)
 
 
 class CutTexts:
-    """The joined bytes of the units of texts."""
+    """The joined bytes of the units of texts.
+
+    One table holds the bytes of the units in use, in two generations: when the newer one reaches half of the
+    bytes allowed, the older is forgotten, and what is asked for again moves to the newer. Punctuation behind a
+    letter is a piece of its own, so a unit with such an end takes the bytes of the unit without it, and those
+    of the end."""
 
-    def __init__(self, make_many: Callable[[list[str]], list[bytes]], most: int = MOST_UNITS) -> None:
-        self._plain = UnitTable(make_many, "", most)
-        self._after_blank = UnitTable(make_many, " ", most)
-        (self._newline,) = make_many(["\n"])
+    def __init__(self, make_many: Callable[[list[str]], list[bytes]], most_bytes: int = MOST_BYTES) -> None:
+        self._make_many, self._half = make_many, most_bytes // 2
+        self.new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._size = 0
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """One result for each text, in order; None counts as empty."""
@@ -92,24 +54,58 @@ class CutTexts:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        cut, plain, after = [], {""}, set()
+        if self._size >= self._half:
+            self._old, self.new, self._size = self.new, {}, 0
+        units, ends = [], []
         for text in texts:
-            if _RUNS.search(text):
-                units = _BLANK.split(text)
-                plain.update(units)
-                cut.append(units)
+            units += units_of(text)
+            ends.append(len(units))
+        found = list(map(self.new.get, units))
+        if None in found:
+            missing = {unit for unit, ids in zip(units, found, strict=True) if ids is None}
+            self._fill(missing)
+            found = list(map(self.new.__getitem__, units))
+            for unit in missing:
+                if len(unit) > LONG_UNIT:
+                    for part in (unit, unit.rstrip(PUNCTUATION), unit[len(unit.rstrip(PUNCTUATION)):]):
+                        if len(part) > LONG_UNIT and part in self.new:
+                            self._size -= _cost(part, self.new.pop(part))
+        begin = 0
+        for end in ends:
+            yield b"".join(found[begin:end])
+            begin = end
+
+    def _fill(self, missing: set[str]) -> None:
+        """Put all of ``missing`` in the newer generation."""
+        cut, wanted = [], set()
+        for unit in missing:
+            if unit in self._old:
+                self._put(unit, self._old[unit])
+                continue
+            stem = unit.rstrip(PUNCTUATION)
+            if stem != unit and stem and stem[-1].isalpha():
+                cut.append((unit, stem, unit[len(stem):]))
+                wanted.update(cut[-1][1:])
             else:
-                lines = [line.split(" ") for line in text.split("\n")]
-                for line in lines:
-                    plain.add(line[0])
-                    line[0] = (line[0],)
-                    after.update(line[1:])
-                cut.append(lines)
-        first, rest = self._plain.ready(plain).__getitem__, self._after_blank.ready(after).__getitem__
-        for units in cut:
-            if isinstance(units[0], str):
-                yield b"".join(map(first, units))
+                wanted.add(unit)
+        make = []
+        for unit in wanted:
+            if unit in self.new:
+                continue
+            if unit in self._old:
+                self._put(unit, self._old[unit])
             else:
-                yield self._newline.join([first(line[0][0]) + b"".join(map(rest, line[1:])) for line in units])
-        self._plain.forget([unit for unit in plain if len(unit) > LONG_UNIT])
-        self._after_blank.forget([unit for unit in after if len(unit) > LONG_UNIT])
+                make.append(unit)
+        if make:
+            for unit, ids in zip(make, self._make_many(make), strict=True):
+                self._put(unit, ids)
+        for unit, stem, end in cut:
+            self._put(unit, self.new[stem] + self.new[end])
+
+    def _put(self, unit: str, ids: bytes) -> None:
+        self.new[unit] = ids
+        self._size += _cost(unit, ids)
+
+
+def _cost(unit: str, ids: bytes) -> int:
+    return ENTRY_BYTES + len(unit) + len(ids)

@@ -70,6 +70,7 @@ def _tokenizer(content: bytes, kind: str) -> CutTexts:
         def make_many(units: list[str]) -> list[bytes]:
             return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
+        _MADE.clear()  # a worker holds one
         _MADE[key] = CutTexts(make_many)
     return _MADE[key]
 

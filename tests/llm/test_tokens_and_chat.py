@@ -58,9 +58,13 @@ def test_bpe_query_form(spark, reference):
 
 def test_unit_tables_forget(reference):
     many = [t for t in texts(400) if t]
-    table = pieces.CutTexts(lambda units: [u.encode() for u in units], most=20)
+    table = pieces.CutTexts(lambda units: [u.encode() for u in units], most_bytes=200_000)
+    for _ in range(3):
+        for text in many:  # a group is one text
+            assert list(table.encode_all([text])) == [text.encode()]
+            assert sum(map(len, table.new)) < 100_000 + 2 * len(text)
     assert list(table.encode_all(many * 3)) == [t.encode() for t in many * 3]
-    assert len(table._plain.new) < 5_000
+    assert table._size == sum(pieces._cost(*x) for x in table.new.items())
 
 
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300) | st.integers(65530, 65540), max_size=60))
