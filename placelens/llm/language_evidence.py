@@ -33,6 +33,7 @@ BUCKETS = 1 << 15  # of trigrams
 TEMPER = 0.4  # trigrams overlap, so they count for less than independent ones
 PRIOR_WEIGHT = 20.0  # documents that a level's parent counts for
 LEAST = 0.5
+AT_ONCE = 1 << 15  # trigrams of a text that are looked up together
 UNKNOWN_PRIOR = 1e-9
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -103,7 +104,9 @@ def _likelihoods(model, at: list[str]):
             for k, text in enumerate(batch.column("text").to_pylist()):
                 letters.append(bool(text) and _LETTER.search(text) is not None)
                 if letters[-1]:
-                    logs[k] = table[_trigrams(_content(text))].sum(axis=0, dtype=np.float64) * TEMPER
+                    found = _trigrams(_content(text))
+                    for a in range(0, len(found), AT_ONCE):
+                        logs[k] += table[found[a:a + AT_ONCE]].sum(axis=0, dtype=np.float64) * TEMPER
             logs -= logs.max(axis=1, keepdims=True) if len(logs) else 0
             shares = np.exp(logs + prior)
             shares /= shares.sum(axis=1, keepdims=True)
