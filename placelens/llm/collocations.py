@@ -31,8 +31,8 @@ from ..session import written
 from .count_automata import WIDTH, CountAutomaton, first_at_or_behind, grams_at_every_place
 
 UNKNOWN = "und"
-SHARD_PLACES = 2_000_000  # words in a shard; a task holds one
-RANGE_PLACES = 1_500_000  # words that begin a sequence of a range, about
+SHARD_PLACES = 1_500_000  # words in a shard; a task holds one
+RANGE_PLACES = 1_000_000  # words that begin a sequence of a range, about
 MOST_RANGES = 20_000  # their borders go to every task; beyond it, ranges grow
 MOST_SAMPLED = 60_000  # texts read for the borders
 SPACING = 48  # of the places taken from a sampled text

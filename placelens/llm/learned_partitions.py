@@ -4,7 +4,8 @@ A bounded sample of the vectors gives a neighbour graph, which is cut into balan
 them. A small network learns, from a vector, how its neighbours are spread over the parts. It places every
 vector of the table in its most probable part and sends every query to its several most probable ones, where
 all vectors are compared exactly. How many parts a query visits is measured: a set of queries is searched in the
-whole table, and the least number that finds ``RECALL`` of their neighbours is taken.
+whole table, and the least number that finds ``RECALL`` of their neighbours is taken. A share of the sample, the
+pilot, is compared with every query: what is worse than a query's nearest there is not passed on from the parts.
 
 Equal vectors are one class, which keeps as many of its smallest ids as an answer can hold, so a vector that a
 third of all rows share costs no more than another. Parts are cut into blocks of bounded size, queries too,
@@ -30,8 +31,10 @@ from ..session import written
 
 SAMPLE = 12_000  # vectors on which graph and network are fitted, on the driver
 NEIGHBOURS = 12  # of each in the graph
-PART_ROWS = 500  # vectors of a part, about, until there are MOST_PARTS
+PILOT = 4_096  # of the sample; sent to every task that reads queries
+PARTS_PER_ROOT = 0.25  # parts grow with the root of the number of vectors
 MOST_PARTS = 256  # each needs its share of the sample; beyond, parts grow and are searched in blocks
+IN_PILOT = -1  # the part of its vectors
 HIDDEN, EPOCHS, BATCH, RATE = 128, 20, 128, 3e-3
 MEASURED, RECALL = 300, 0.97
 BLOCK, QUERY_BLOCK = 8_192, 2_048
@@ -166,25 +169,50 @@ def vector_classes(table: DataFrame, keep: int, vector: str, key: str) -> DataFr
         F.get("ids", F.lit(0)).alias("class"), "vector", "ids")
 
 
-def fit_router(classes: DataFrame, many: int) -> Router | None:
-    """Router for about ``many / PART_ROWS`` parts; None if one part is enough."""
-    parts = min(MOST_PARTS, many // PART_ROWS)
+@dataclass
+class Pilot:
+    """Classes that every query is compared with."""
+
+    table: pa.Table  # class, vector, ids
+
+    def best(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, class number and score of the ``k`` nearest of each row."""
+        y = matrix(self.table.column("vector"))
+        row, c = nearest(x @ y.T, k)
+        return row, c, exact_scores(x[row], y[c])
+
+    def floors(self, x: np.ndarray, k: int) -> np.ndarray:
+        """Score that the ``k`` nearest of each row reach, less what rounding may change."""
+        scores = x @ matrix(self.table.column("vector")).T
+        if scores.shape[1] < k:
+            return np.full(len(x), -np.inf)
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        return least - 1e-9 * np.abs(scores).max(axis=1)
+
+
+def fit_router(classes: DataFrame, many: int) -> tuple[Router, Pilot] | None:
+    """Router for the parts that ``many`` vectors need, and the pilot; None if one part is enough."""
+    parts = min(MOST_PARTS, int(PARTS_PER_ROOT * many**0.5))
     if parts < 2:
         return None
-    some = classes.select("class", "vector").orderBy(F.xxhash64("class"), "class").limit(SAMPLE).toArrow()
+    some = classes.select("class", "vector", "ids").orderBy(F.xxhash64("class"), "class").limit(min(SAMPLE, many)).toArrow()
     x, rng = matrix(some.column("vector")), np.random.default_rng(SEED)
     graph = neighbour_graph(x, NEIGHBOURS)
-    return Router.fit(x, balanced_parts(graph, parts, rng), graph, parts, rng)
+    pilot = Pilot(some.slice(0, min(PILOT, many // 2)).combine_chunks())
+    return Router.fit(x, balanced_parts(graph, parts, rng), graph, parts, rng), pilot
 
 
-def placed(classes: DataFrame, router: Router | None) -> DataFrame:
+def placed(classes: DataFrame, fitted: tuple[Router, Pilot] | None) -> DataFrame:
     """Every class with its most probable ``part``."""
+    router = fitted[0] if fitted else None
+    pilot = np.sort(fitted[1].table.column("class").to_numpy()) if fitted else np.zeros(0, np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = np.zeros(batch.num_rows, np.int64)
             if router is not None and batch.num_rows:
                 part = router.logits(matrix(batch.column("vector"))).argmax(axis=1)
+                part[np.isin(batch.column("class").to_numpy(), pilot, assume_unique=True)] = IN_PILOT
             yield batch.append_column("part", pa.array(part.astype(np.int32)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema)
@@ -225,7 +253,8 @@ def visits_needed(index: DataFrame, queries: DataFrame, router: Router, k: int)
     found = index.select("class", "vector", "part").mapInArrow(scan, "q long, score double, class long, part int")
     best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("q", "part").toArrow()
     rank = np.argsort(np.argsort(-router.logits(x), axis=1, kind="stable"), axis=1, kind="stable")
-    needed = np.sort(rank[best.column("q").to_numpy(), best.column("part").to_numpy()]) + 1
+    part = best.column("part").to_numpy()
+    needed = np.sort(np.where(part == IN_PILOT, 0, rank[best.column("q").to_numpy(), part])) + 1
     return int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)])
 
 
@@ -233,11 +262,14 @@ def _blocks(many: Column | int, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil((F.lit(many) if isinstance(many, int) else many) / size)).cast("int")
 
 
-def search(index: DataFrame, queries: DataFrame, router: Router | None, visits: int, k: int, many_queries: int) -> DataFrame:
-    """(query, class, ids, score): candidates that hold the ``k`` nearest of each query among the parts it visits."""
-    sizes = {r["part"]: r["many"] for r in index.groupBy("part").agg(F.count("*").alias("many")).collect()}  # at most MOST_PARTS
+def search(index: DataFrame, queries: DataFrame, fitted: tuple[Router, Pilot] | None, visits: int, k: int, many_queries: int) -> DataFrame:
+    """(query, class, ids, score): the ``k`` nearest of each query in the pilot and the parts it visits."""
+    found = "query long, class long, ids array<long>, score double"
+    router, pilot = fitted or (None, None)
+    held = index.where(F.col("part") != IN_PILOT)
+    sizes = {r["part"]: r["many"] for r in held.groupBy("part").agg(F.count("*").alias("many")).collect()}  # at most MOST_PARTS
     if not sizes:
-        return index.sparkSession.createDataFrame([], "query long, class long, ids array<long>, score double")
+        return index.sparkSession.createDataFrame([], found)
     blocks = F.create_map(*[F.lit(x) for part, many in sizes.items() for x in (part, -(-many // BLOCK))])
     q_blocks = max(1, -(-many_queries * visits // (max(1, len(sizes)) * QUERY_BLOCK)))
 
@@ -245,20 +277,29 @@ def search(index: DataFrame, queries: DataFrame, router: Router | None, visits:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if router is None:
-                chosen = np.zeros((batch.num_rows, 1), np.int64)
-            else:
-                chosen = np.argsort(-router.logits(matrix(batch.column("vector"))), axis=1, kind="stable")[:, :visits]
+            chosen, floor = np.zeros((batch.num_rows, 1), np.int64), np.full(batch.num_rows, -np.inf)
+            if router is not None:
+                x = matrix(batch.column("vector"))
+                chosen = np.argsort(-router.logits(x), axis=1, kind="stable")[:, :visits]
+                floor = pilot.floors(x, k)
             row = np.repeat(np.arange(batch.num_rows), chosen.shape[1])
             yield pa.record_batch(
-                [batch.column("class").take(pa.array(row)), batch.column("vector").take(pa.array(row)), pa.array(chosen.ravel().astype(np.int32))],
-                ["query", "x", "part"])
+                [batch.column("class").take(pa.array(row)), batch.column("vector").take(pa.array(row)), pa.array(chosen.ravel().astype(np.int32)),
+                 pa.array(floor[row])], ["query", "x", "part", "floor"])
+
+    def in_pilot(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, c, score = pilot.best(matrix(batch.column("vector")), k)
+                yield pa.record_batch(
+                    [batch.column("class").take(pa.array(row)), *(pilot.table.column(x).combine_chunks().take(pa.array(c)) for x in ("class", "ids")),
+                     pa.array(score)], ["query", "class", "ids", "score"])
 
     kind = index.schema["vector"].dataType.simpleString()
-    asked = queries.select("class", "vector").mapInArrow(visited, f"query long, x {kind}, part int").where(F.col("part").isin(list(sizes)))
+    asked = queries.select("class", "vector").mapInArrow(visited, f"query long, x {kind}, part int, floor double").where(F.col("part").isin(list(sizes)))
     asked = asked.withColumn("q_block", F.pmod(F.xxhash64("query"), F.lit(q_blocks)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("part")) - 1)))
-    held = index.withColumn("block", F.pmod(F.xxhash64("class"), F.element_at(blocks, F.col("part"))).cast("int")).withColumn(
+    held = held.withColumn("block", F.pmod(F.xxhash64("class"), F.element_at(blocks, F.col("part"))).cast("int")).withColumn(
         "q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -267,15 +308,20 @@ def search(index: DataFrame, queries: DataFrame, router: Router | None, visits:
             score = np.zeros(0)
         else:
             x, y = matrix(a.column("x")), matrix(b.column("vector"))
-            q, c = nearest(x @ y.T, k)
+            scores = x @ y.T
+            q, c = nearest(scores, k)
+            enough = scores[q, c] >= a.column("floor").to_numpy()[q]
+            q, c = q[enough], c[enough]
             score = exact_scores(x[q], y[c])
         q, c = pa.array(q), pa.array(c)
         return pa.table({"query": a.column("query").take(q), "class": b.column("class").take(c), "ids": b.column("ids").take(c), "score": score})
 
     cell = ["part", "block", "q_block"]
-    found = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(compare, "query long, class long, ids array<long>, score double")
+    near = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(compare, found)
+    if pilot is not None:
+        near = near.unionByName(queries.select("class", "vector").mapInArrow(in_pilot, found))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "class")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
 
 
 def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -285,17 +331,11 @@ def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 20, vector:
     asking = table.where(is_query).select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("vector")).where("query_id is not null")
     classes = written(vector_classes(table, k + 1, vector, key), "vector-classes")
     many = classes.count()
-    router = fit_router(classes, many)
-    index = written(placed(classes, router), "vector-parts")
+    fitted = fit_router(classes, many)
+    index = written(placed(classes, fitted), "vector-parts")
     queries = written(index.join(asking.select("vector").distinct(), "vector", "left_semi"), "vector-queries")
-    visits = 1
-    if router is not None:
-        visits = visits_needed(index, queries, router, k)
-        sizes = sorted(r["many"] for r in index.groupBy("part").agg(F.count("*").alias("many")).collect())
-        sizes = [0] * (router.parts - len(sizes)) + sizes
-        while visits < router.parts and sum(sizes[:visits]) <= k:
-            visits += 1
-    found = search(index, queries, router, visits, k + 1, queries.count())
+    visits = 1 if fitted is None else visits_needed(index, queries, fitted[0], k)
+    found = search(index, queries, fitted, visits, k + 1, queries.count())
     each = found.select("query", "score", F.explode("ids").alias("id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     best = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
