@@ -1,14 +1,94 @@
-"""Two-dimensional map of the profiles with a query placed among them."""
+"""Two-dimensional map of the profiles with queries placed among them."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as fixed
+from ..session import written
+from .neighbours import cosine_search, similar_entities
+
+NEIGHBOURS = 8
+VECTORS = 4  # iterated together; two are kept
+STEPS, ROUNDS = 4, 12
+SETTLED = 1e-5  # relative change of the eigenvalues at which the rounds end
+
+
+def neighbour_graph(profiles: DataFrame, k: int = NEIGHBOURS, entity: str = "Town") -> DataFrame:
+    """(a, b, w), both ways: each profile and its ``k`` most similar ones, weighted by the similarity."""
+    near = similar_entities(profiles, k, entity).where("similarity > 0")
+    one_way = near.select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"), F.col("similarity").alias("w"))
+    other = one_way.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")
+    return one_way.unionByName(other).groupBy("a", "b").agg(F.max("w").alias("w"))
+
+
+def _names(prefix: str) -> list[str]:
+    return [f"{prefix}{k}" for k in range(VECTORS)]
+
+
+def _step(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """Half of each vector stays, half is the weighted mean over the neighbours."""
+    ys = _names("y")
+    sent = state.select(F.col("node").alias("b"), *ys)
+    means = edges.join(sent, "b").groupBy(F.col("a").alias("node")).agg(*[F.sum(F.col("w") * F.col(y)).alias(f"s{y}") for y in ys])
+    halves = [(0.5 * F.col(y) + 0.5 * F.col(f"s{y}") / F.col("d")).alias(y) for y in ys]
+    return state.join(means, "node").select("node", "d", *halves)
+
+
+def _inner(state: DataFrame, left: list[Column], right: list[Column]) -> np.ndarray:
+    """Sums of the products, weighted by ``d``; one row of numbers comes back."""
+    sums = [F.sum(F.col("d") * a * b).alias(f"i{i}_{j}") for i, a in enumerate(left) for j, b in enumerate(right)]
+    return np.array(state.agg(*sums).first(), np.float64).reshape(len(left), len(right))
+
+
+def _combined(state: DataFrame, turn: np.ndarray, mean: np.ndarray, keep: list[str]) -> DataFrame:
+    columns = [F.col(y) - float(m) for y, m in zip(_names("y"), mean, strict=True)]
+    made = [sum((c * float(t) for c, t in zip(columns, turn[:, j], strict=True)), F.lit(0.0)).alias(name) for j, name in enumerate(keep)]
+    return state.select("node", "d", *made)
+
+
+def neighbour_layout(edges: DataFrame) -> DataFrame:
+    """(node, x, y): the two slowest ways in which a walk on the graph mixes, after the constant one.
+
+    Leading eigenvectors by power iteration of a small block of vectors: a step is a join along the edges and a sum for
+    each node; after some steps the vectors are made orthogonal to the constant and to each other, from sums of
+    products. Starting values are hashes of the nodes. Each axis has mean 0 and variance 1, weighted by degree,
+    and its largest value positive. Nodes of an unconnected part stand at one place of an axis.
+    """
+    degrees = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d"))
+    start = [(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 20)) / (1 << 20) - 0.5).alias(f"y{k}") for k in range(VECTORS)]
+    edges = written(edges, "map-edges")
+    state = written(degrees.select("node", "d", *start), "map-state")
+    if state.isEmpty():
+        return state.select("node", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    before = None
+    for _ in range(ROUNDS):
+        for _ in range(STEPS):
+            state = _step(state, edges)
+        state = written(state, "map-state")
+        ys = [F.col(y) for y in _names("y")]
+        one = [F.lit(1.0)]
+        gram = _inner(state, one + ys, one + ys)
+        mean = gram[0, 1:] / gram[0, 0]
+        centred = gram[1:, 1:] - np.outer(mean, mean) * gram[0, 0]
+        values, turn = np.linalg.eigh(centred)
+        inverse = np.where(values > 1e-13 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+        state = _combined(state, turn * inverse, mean, _names("y"))
+        moved = _step(state, edges).select("node", *[F.col(y).alias(f"z{y}") for y in _names("y")])
+        ritz = _inner(state.join(moved, "node"), [F.col(y) for y in _names("y")], [F.col(f"z{y}") for y in _names("y")])
+        speed, turn = np.linalg.eigh((ritz + ritz.T) / 2)
+        order = np.argsort(-speed)
+        speed, turn = speed[order], turn[:, order]
+        if before is not None and np.abs(speed[:2] - before).max() <= SETTLED * max(abs(speed[0]), 1e-300):
+            break
+        before = speed[:2]
+    flat = written(_combined(state, turn[:, :2], np.zeros(VECTORS), ["x", "y"]), "map-axes")
+    total, *ends = flat.agg(F.sum("d"), F.max("x"), F.min("x"), F.max("y"), F.min("y")).first()
+    signs = [1.0 if high >= -low else -1.0 for high, low in (ends[:2], ends[2:])]
+    scale = float(np.sqrt(total))
+    return flat.select("node", *[(F.col(c) * (s * scale)).alias(c) for c, s in zip(("x", "y"), signs, strict=True)])
 
 
 def entity_map_2d(
@@ -19,37 +99,25 @@ def entity_map_2d(
     entity: str = "Town",
     query_id: str = "query_id",
     vector: str = "embedding",
+    k: int = NEIGHBOURS,
     mark_top: int = fixed.MARK_TOP,
     mark_other: int = fixed.MARK_OTHER,
     mark_query: int = fixed.MARK_QUERY,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """First two principal axes of the profiles; entities and queries on the same axes.
+    """Entities laid out by the graph of their nearest profiles; a query stands at the mean of its ``k`` most similar
+    entities, weighted by similarity.
 
-    Three frames: the entities (coordinates, cluster, base mark), the queries (coordinates,
-    mark), and the marks of recommended entities per query (mark, highlight by rank). The
-    map of one query is all entities, that query, and its marks. Axes are oriented so that
-    the largest loading of each is positive.
+    Three frames: the entities (coordinates, cluster, base mark), the queries (coordinates, mark), and the
+    marks of recommended entities per query (mark, highlight by rank). The map of one query is all entities,
+    that query, and its marks. Entities without a similar one, and queries like none, stand at 0, 0.
     """
-
-    def packed(df: DataFrame, column: str) -> DataFrame:
-        return df.withColumn("_v", array_to_vector(F.col(column).cast("array<double>")))
-
-    fitted = packed(profiles, "profile")
-    centre = StandardScaler(
-        withMean=True, withStd=False, inputCol="_v", outputCol="_centred"
-    ).fit(fitted)
-    axes = PCA(k=2, inputCol="_centred", outputCol="_xy").fit(centre.transform(fitted))
-    loadings = axes.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), [0, 1]])
-
-    def placed(df: DataFrame, column: str, key: str) -> DataFrame:
-        xy = vector_to_array("_xy")
-        return axes.transform(centre.transform(packed(df, column))).select(
-            key, (xy[0] * float(signs[0])).alias("x"), (xy[1] * float(signs[1])).alias("y")
-        )
-
-    towns = placed(profiles, "profile", entity).join(clusters, entity, "left")
-    users = placed(queries, vector, query_id)
+    placed = written(neighbour_layout(neighbour_graph(profiles, k, entity)).withColumnRenamed("node", entity), "map")
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("x", "y")]
+    towns = profiles.select(entity).join(placed.select(entity, "x", "y"), entity, "left").select(entity, *zero)
+    near = cosine_search(queries, profiles, k, query_id, vector, entity, "profile").where("similarity > 0")
+    sums = [(F.sum(F.col(c) * F.col("similarity")) / F.sum("similarity")).alias(c) for c in ("x", "y")]
+    users = near.join(towns, entity).groupBy(query_id).agg(*sums)
+    users = queries.select(query_id).join(users, query_id, "left").select(query_id, *zero)
     marks = recommended.select(
         query_id,
         F.col("pueblo").alias(entity),
@@ -57,7 +125,7 @@ def entity_map_2d(
         (fixed.HIGHLIGHT_FIRST - (F.col("rank") - 1) * fixed.HIGHLIGHT_STEP).cast("int").alias("highlight"),
     )
     return (
-        towns.withColumn("mark", F.lit(mark_other)),
+        towns.join(clusters, entity, "left").withColumn("mark", F.lit(mark_other)),
         users.withColumn("mark", F.lit(mark_query)),
         marks,
     )

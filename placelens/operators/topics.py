@@ -2,39 +2,24 @@
 
 from __future__ import annotations
 
-import warnings
-
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..functions.numeric import round_half_even
 from . import counts as C
-
-OUTLIER = -1
+from .density import OUTLIER, density_clusters
 
 
 def assign_topics(
-    sample: DataFrame, n_topics: int = 19, vector: str = "embedding", seed: int = 42, max_iter: int = 300
+    sample: DataFrame, n_topics: int = 19, vector: str = "embedding", row_id: str = "row_id", neighbours: int | None = None
 ) -> DataFrame:
-    """Topic per review from k-means on unit vectors. A group below the minimum size
-    ``max(5, rows // (3 * n_topics))`` is no topic: its reviews become outliers (-1).
-    A fit that needs all of ``max_iter`` rounds did not converge and warns."""
-    features = sample.withColumn("features", array_to_vector(vectors.l2_normalize(vector)))
-    features = features.orderBy("row_id").persist()
-    model = KMeans(k=n_topics, seed=seed, maxIter=max_iter, predictionCol="topic").fit(features)
-    if model.summary.numIter >= max_iter:
-        warnings.warn(f"k-means did not converge in {max_iter} rounds", stacklevel=2)
-    sizes = model.summary.clusterSizes
-    minimum = max(5, sum(sizes) // (3 * n_topics))
-    small = [i for i, size in enumerate(sizes) if size < minimum]
-    assigned = model.transform(features).drop("features")
-    if not small:
-        return assigned
-    topic = F.when(F.col("topic").isin(small), OUTLIER).otherwise(F.col("topic"))
-    return assigned.withColumn("topic", topic)
+    """Topic per review: density clusters of the vectors, at most ``n_topics``, numbered from the largest; reviews
+    in no dense group are outliers (-1). A topic has at least ``max(5, rows // (3 * n_topics))`` reviews, which
+    is also the number of neighbours that density is measured by unless ``neighbours`` says otherwise."""
+    minimum = max(5, sample.count() // (3 * n_topics))
+    found = density_clusters(sample, minimum, n_topics, neighbours, row_id, vector)
+    return sample.join(found.withColumnRenamed("cluster", "topic"), row_id)  # a row each; bounded by the sample
 
 
 def topic_term_counts(documents: DataFrame, column: str = "text") -> DataFrame:

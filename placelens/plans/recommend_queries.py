@@ -13,9 +13,9 @@ from ..sources import artifacts, fixtures
 from .common import long_vectors, rounded, scratch
 from .views import TOPICS, VECTOR_REVIEWS, with_views
 
-# Test parameters: smaller than the published ones, so that the samples cut something.
-PER_ENTITY, FIRST_N, CORPUS, EVALUATION, BALANCED, TOP, K = 25, 25, 200, 100, 20, 5, 20
-STARTS = 15
+# The published sizes of samples, lists and restarts, and the number of topics.
+PER_ENTITY, FIRST_N, CORPUS, EVALUATION, BALANCED, TOP, K = 100, 150, 8_000, 800, 200, 5, 20
+STARTS, TOPIC_COUNT = 15, 19
 
 
 def _reviews(s: SparkSession, d: str) -> DataFrame:
@@ -119,16 +119,13 @@ def _sweep(s: SparkSession, d: str) -> DataFrame:
 
 
 def _assigned(s: SparkSession, d: str) -> DataFrame:
-    features = _features(s, d).persist()
-    model = clustering.kmeans_restarts(features, 3, STARTS)
-    return model.transform(features).select("Town", F.col("prediction").alias("cluster"))
+    features = _features(s, d)
+    return clustering.kmeans_restarts(features, 3, STARTS).assign(features)
 
 
 def _silhouette(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
     labelled = fixtures.review_vectors(s, d).select(
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").alias("cluster")
+        F.col("embedding").cast("array<double>").alias("features"), F.col("label").alias("cluster")
     )
     score = clustering.silhouette_cosine(labelled)
     return rounded(s.createDataFrame([(float(score),)], "silhouette double"))
@@ -143,8 +140,10 @@ def _compared(s: SparkSession, d: str) -> DataFrame:
 
 
 def _map(s: SparkSession, d: str) -> DataFrame:
-    towns, _, _ = maps.entity_map_2d(_profiles(s, d), _queries(s, d), _assigned(s, d), _recommended(s, d))
-    return towns
+    """The three frames under one another."""
+    frames = maps.entity_map_2d(_profiles(s, d), _queries(s, d), _assigned(s, d), _recommended(s, d))
+    towns, users, marks = (df.withColumn("frame", F.lit(name)) for df, name in zip(frames, ("entity", "query", "mark"), strict=True))
+    return towns.unionByName(users, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True)
 
 
 QUERIES = {
@@ -185,7 +184,7 @@ QUERIES = {
     "g8_metric_gain": lambda s, d: rounded(evaluation.metric_gain(_record(s, d))),
     "h1_balanced_sample": lambda s, d: sampling.balanced_sample(_topics(s, d), BALANCED).select("row_id", "Town"),
     "h2_assign_topics": lambda s, d: topics.assign_topics(
-        sampling.balanced_sample(_topics(s, d), BALANCED).drop("topic"), 19).select("row_id", "topic"),
+        sampling.balanced_sample(_topics(s, d), BALANCED).drop("topic"), TOPIC_COUNT).select("row_id", "topic"),
     "h3_topic_terms": lambda s, d: rounded(_topic_words(s, d)),
     "h4_topic_sizes": lambda s, d: topics.topic_sizes(_topics(s, d)),
     "h5_topic_distribution": lambda s, d: rounded(_distribution(s, d)),
