@@ -81,7 +81,7 @@ def _slices(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Record
             yield batch.slice(at, rows)
 
 
-def _added(frame: DataFrame, make: Callable[[Iterable[pa.RecordBatch]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+def added(frame: DataFrame, make: Callable[[Iterable[pa.RecordBatch]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
     """Sum over all tasks of the arrays that ``make`` gives for each key of a task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def model_sums(features: DataFrame, models: list[np.ndarray]) -> list[np.ndarray
                 total[:, 2:] += chosen @ x
         return dict(enumerate(out))
 
-    found = _added(features.select("features"), make)
+    found = added(features.select("features"), make)
     return [found[k].reshape(len(m), wide + 2) for k, m in enumerate(models)]
 
 
@@ -236,7 +236,7 @@ def silhouettes(features: DataFrame, models: list[Centres]) -> list[float]:
         return dict(enumerate(out))
 
     vectors = features.select("features")
-    found = _added(vectors, sums)
+    found = added(vectors, sums)
     totals = [found[k].reshape(len(c), -1) for k, c in enumerate(sets)]
 
     def scores(batches: Iterable[pa.RecordBatch]) -> dict[int, np.ndarray]:
@@ -246,7 +246,7 @@ def silhouettes(features: DataFrame, models: list[Centres]) -> list[float]:
                 out[k] += _silhouette_sums(u, own, totals[k][:, 0], totals[k][:, 1:])
         return {0: out}
 
-    score = _added(vectors, scores)[0]
+    score = added(vectors, scores)[0]
     return [float(score[k] / totals[k][:, 0].sum()) if (totals[k][:, 0] > 0).sum() > 1 else 0.0 for k in range(len(sets))]
 
 
@@ -264,7 +264,7 @@ def silhouette_cosine(labelled: DataFrame, label: str = "cluster") -> float:
                 out[x] = out.get(x, 0.0) + np.concatenate(([len(some)], some.sum(axis=0)))
         return out
 
-    found = _added(rows, sums)
+    found = added(rows, sums)
     names = np.array(sorted(found))
     if len(names) < 2:
         return 0.0
@@ -277,7 +277,7 @@ def silhouette_cosine(labelled: DataFrame, label: str = "cluster") -> float:
             total += _silhouette_sums(_units(matrix(batch.column(0))), own, totals[:, 0], totals[:, 1:])
         return {0: np.array([total])}
 
-    return float(_added(rows, scores)[0][0] / totals[:, 0].sum())
+    return float(added(rows, scores)[0][0] / totals[:, 0].sum())
 
 
 def sweep(

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as fixed
 from ..session import written
+from .clustering import added
 from .neighbours import cosine_search, similar_entities
 
 NEIGHBOURS = 8
-VECTORS = 4  # iterated together; two are kept
-STEPS, ROUNDS = 4, 12
-SETTLED = 1e-5  # relative change of the eigenvalues at which the rounds end
+VECTORS = 3  # iterated together; two are kept
+STEPS, ROUNDS = 5, 6
+SETTLED = 1e-3  # relative change of the eigenvalues at which the rounds end
 
 
 def neighbour_graph(profiles: DataFrame, k: int = NEIGHBOURS, entity: str = "Town") -> DataFrame:
@@ -24,27 +28,35 @@ def neighbour_graph(profiles: DataFrame, k: int = NEIGHBOURS, entity: str = "Tow
     return one_way.unionByName(other).groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
-def _names(prefix: str) -> list[str]:
-    return [f"{prefix}{k}" for k in range(VECTORS)]
+def _names(step: int) -> list[str]:
+    return [f"y{step}_{k}" for k in range(VECTORS)]
+
+
+def _step(state: DataFrame, walk: DataFrame, step: int) -> DataFrame:
+    """Adds the vectors after one step more. The state is read once: what a node has already, comes back to it along
+    its own loop."""
+    sent = state.withColumnRenamed("node", "b")
+    kept = [F.sum(F.when(F.col("loop"), F.col(c))).alias(c) for c in state.columns if c != "node"]
+    made = [F.sum(F.col("w") * F.col(y)).alias(name) for y, name in zip(_names(step - 1), _names(step), strict=True)]
+    return walk.join(sent, "b").groupBy(F.col("a").alias("node")).agg(*kept, *made)
 
 
-def _step(state: DataFrame, edges: DataFrame) -> DataFrame:
-    """Half of each vector stays, half is the weighted mean over the neighbours."""
-    ys = _names("y")
-    sent = state.select(F.col("node").alias("b"), *ys)
-    means = edges.join(sent, "b").groupBy(F.col("a").alias("node")).agg(*[F.sum(F.col("w") * F.col(y)).alias(f"s{y}") for y in ys])
-    halves = [(0.5 * F.col(y) + 0.5 * F.col(f"s{y}") / F.col("d")).alias(y) for y in ys]
-    return state.join(means, "node").select("node", "d", *halves)
+def _products(state: DataFrame, names: list[str]) -> np.ndarray:
+    """Sums of the products of 1 and the vectors, weighted by ``d``; one row of numbers comes back."""
 
+    def make(batches: Iterable[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        total = np.zeros((len(names) + 1, len(names) + 1))
+        for batch in batches:
+            d, *ys = (c.to_numpy() for c in batch.columns)
+            rows = np.column_stack([np.ones(len(d)), *ys])
+            total += rows.T @ (rows * d[:, None])
+        return {0: total}
 
-def _inner(state: DataFrame, left: list[Column], right: list[Column]) -> np.ndarray:
-    """Sums of the products, weighted by ``d``; one row of numbers comes back."""
-    sums = [F.sum(F.col("d") * a * b).alias(f"i{i}_{j}") for i, a in enumerate(left) for j, b in enumerate(right)]
-    return np.array(state.agg(*sums).first(), np.float64).reshape(len(left), len(right))
+    return added(state.select("d", *names), make)[0].reshape(len(names) + 1, -1)
 
 
-def _combined(state: DataFrame, turn: np.ndarray, mean: np.ndarray, keep: list[str]) -> DataFrame:
-    columns = [F.col(y) - float(m) for y, m in zip(_names("y"), mean, strict=True)]
+def _combined(state: DataFrame, names: list[str], turn: np.ndarray, mean: np.ndarray, keep: list[str]) -> DataFrame:
+    columns = [F.col(c) - float(m) for c, m in zip(names, mean, strict=True)]
     made = [sum((c * float(t) for c, t in zip(columns, turn[:, j], strict=True)), F.lit(0.0)).alias(name) for j, name in enumerate(keep)]
     return state.select("node", "d", *made)
 
@@ -53,38 +65,41 @@ def neighbour_layout(edges: DataFrame) -> DataFrame:
     """(node, x, y): the two slowest ways in which a walk on the graph mixes, after the constant one.
 
     Leading eigenvectors by power iteration of a small block of vectors: a step is a join along the edges and a sum for
-    each node; after some steps the vectors are made orthogonal to the constant and to each other, from sums of
+    each node. After some steps the best combinations of all vectors passed are taken, without the constant, from sums of
     products. Starting values are hashes of the nodes. Each axis has mean 0 and variance 1, weighted by degree,
     and its largest value positive. Nodes of an unconnected part stand at one place of an axis.
     """
     degrees = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d"))
-    start = [(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 20)) / (1 << 20) - 0.5).alias(f"y{k}") for k in range(VECTORS)]
-    edges = written(edges, "map-edges")
+    start = [(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 20)) / (1 << 20) - 0.5).alias(name) for k, name in enumerate(_names(0))]
+    steps = edges.join(degrees.withColumnRenamed("node", "a"), "a").select("a", "b", (0.5 * F.col("w") / F.col("d")).alias("w"), F.lit(False).alias("loop"))
+    loops = degrees.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.5).alias("w"), F.lit(True).alias("loop"))
+    walk = written(steps.unionByName(loops), "map-walk")  # half stays, half goes to the neighbours
     state = written(degrees.select("node", "d", *start), "map-state")
     if state.isEmpty():
         return state.select("node", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    before = None
-    for _ in range(ROUNDS):
-        for _ in range(STEPS):
-            state = _step(state, edges)
+    names = [name for step in range(STEPS + 1) for name in _names(step)]
+    basis, before = names[:-VECTORS], None
+    for turn_number in range(ROUNDS):
+        for step in range(1, STEPS + 1):
+            state = _step(state, walk, step)
         state = written(state, "map-state")
-        ys = [F.col(y) for y in _names("y")]
-        one = [F.lit(1.0)]
-        gram = _inner(state, one + ys, one + ys)
-        mean = gram[0, 1:] / gram[0, 0]
-        centred = gram[1:, 1:] - np.outer(mean, mean) * gram[0, 0]
-        values, turn = np.linalg.eigh(centred)
-        inverse = np.where(values > 1e-13 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-        state = _combined(state, turn * inverse, mean, _names("y"))
-        moved = _step(state, edges).select("node", *[F.col(y).alias(f"z{y}") for y in _names("y")])
-        ritz = _inner(state.join(moved, "node"), [F.col(y) for y in _names("y")], [F.col(f"z{y}") for y in _names("y")])
-        speed, turn = np.linalg.eigh((ritz + ritz.T) / 2)
-        order = np.argsort(-speed)
-        speed, turn = speed[order], turn[:, order]
-        if before is not None and np.abs(speed[:2] - before).max() <= SETTLED * max(abs(speed[0]), 1e-300):
+        products = _products(state, names)
+        mean = products[0, 1:] / products[0, 0]
+        centred = products[1:, 1:] - np.outer(mean, mean) * products[0, 0]
+        n = len(basis)
+        values, axes = np.linalg.eigh(centred[:n, :n])
+        real = values > 1e-11 * max(values.max(), 1e-300)
+        axes = axes[:, real] / np.sqrt(values[real])
+        moved = axes.T @ centred[:n, VECTORS:] @ axes  # a step takes each vector to the one VECTORS places on
+        speed, turn = np.linalg.eigh((moved + moved.T) / 2)
+        turn = axes @ turn[:, np.argsort(-speed)]
+        turn = np.pad(turn, ((0, 0), (0, max(0, VECTORS - turn.shape[1]))))
+        speed = np.append(np.sort(speed)[::-1], (0.0, 0.0))[:2]
+        if turn_number == ROUNDS - 1 or before is not None and np.abs(speed - before).max() <= SETTLED * max(speed[0], 1e-300):
             break
-        before = speed[:2]
-    flat = written(_combined(state, turn[:, :2], np.zeros(VECTORS), ["x", "y"]), "map-axes")
+        before = speed
+        state = _combined(state, basis, turn[:, :VECTORS], mean[:n], _names(0))
+    flat = written(_combined(state, basis, turn[:, :2], mean[:n], ["x", "y"]), "map-axes")
     total, *ends = flat.agg(F.sum("d"), F.max("x"), F.min("x"), F.max("y"), F.min("y")).first()
     signs = [1.0 if high >= -low else -1.0 for high, low in (ends[:2], ends[2:])]
     scale = float(np.sqrt(total))

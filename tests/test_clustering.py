@@ -67,8 +67,8 @@ def test_starts_do_not_depend_on_partitions(features):
 
 def test_jobs_of_a_sweep(spark, features, monkeypatch):
     passes = []
-    plain = clustering._added
-    monkeypatch.setattr(clustering, "_added", lambda *a: passes.append(1) or plain(*a))
+    plain = clustering.added
+    monkeypatch.setattr(clustering, "added", lambda *a: passes.append(1) or plain(*a))
     found = clustering.sweep(features, k_max=10, n_init=15)
     assert [c.k for c in found] == list(range(2, 10)) and len(passes) < 100
 
