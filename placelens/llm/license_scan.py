@@ -16,6 +16,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,7 @@ for _license, _names in NAMES.items():
             TEMPLATES[f"{_license}#{_verb} {_k}"] = f"{_verb} under {_name}"
     if _license != "BSD":
         TEMPLATES[f"{_license}#spdx"] = f"SPDX-License-Identifier: {_license}"
+TRIES = 12  # alignments of one place of a notice, of which the best counts
 SHORT = 10  # words; each of a shorter template may be the license's name, so all must be there, and close
 
 
@@ -175,10 +177,78 @@ def _compact(pairs: list[tuple[int, int]], need: float) -> list[tuple[int, int]]
     return pairs[slice(*kept)] if kept[1] - kept[0] >= need else pairs
 
 
+class _Bounds:
+    """Upper bounds of what an alignment in text[low:high] can reach. A longest common subsequence is at least
+    as long as any alignment, and bit vectors (a bit for each place of the template) give it for all prefixes of
+    the text and the template at once. They are worked out for one stretch of four template lengths at a time,
+    with the windows that may begin or end outside it."""
+
+    def __init__(self, text: list[str], low: int, high: int, template: list[str], anchors: set[str], need: float) -> None:
+        self.text, self.low, self.high, self.need = text, low, high, need
+        self.size, self.total, self.anchors = len(template), Counter(template), anchors
+        self.forward, self.backward = self._masks(template), self._masks(template[::-1])
+        self.stretch: int | None = None
+        self.foreign: dict[int, int] = {}
+
+    @staticmethod
+    def _masks(template: list[str]) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for k, w in enumerate(template):
+            out[w] = out.get(w, 0) | 1 << k
+        return out
+
+    def _pass(self, places: range, masks: dict[str, int]) -> tuple[dict[int, int], int]:
+        """For each place of an anchor the free bits before it, and the free bits at the end."""
+        full = (1 << self.size) - 1
+        free, out = full, {}
+        for at in places:
+            word = self.text[at]
+            if hits := masks.get(word):
+                if word in self.anchors:
+                    out[at] = free
+                taken = free & hits
+                free = ((free + taken) | (free - taken)) & full
+        return out, free
+
+    def _enter(self, stretch: int) -> None:
+        self.stretch, wide = stretch, 4 * self.size
+        start = self.low + stretch * wide
+        a, b = max(self.low, start - wide // 2), min(self.high, start + wide + wide // 2)
+        known = [k for k in range(a, b) if self.text[k] in self.total]
+        self.open = (Counter(self.text[k] for k in known) & self.total).total() >= self.need
+        if not self.open:
+            return
+        self.before, free = self._pass(range(a, b), self.forward)
+        self.open = self.size - free.bit_count() >= self.need
+        if self.open:
+            self.after, _ = self._pass(range(b - 1, a - 1, -1), self.backward)
+            least = ceil(self.need)
+            # words that are not the template's, in any run that holds enough words that are
+            self.foreign[stretch] = min((q - p + 1 - least for p, q in zip(known, known[least - 1:], strict=False)), default=0)
+
+    def foreign_of(self, at: int) -> int:
+        """At least so many words in a place found around ``at`` are not the template's."""
+        return self.foreign[(at - self.low) // (4 * self.size)]
+
+    def pairs(self, at: int, place: int) -> int:
+        """No alignment in which word ``at`` is word ``place`` of the template has more pairs; 0 if it is too few."""
+        stretch = (at - self.low) // (4 * self.size)
+        if stretch != self.stretch:
+            self._enter(stretch)
+        if not self.open:
+            return 0
+        rest = self.size - 1 - place
+        left = place - (self.before[at] & ((1 << place) - 1)).bit_count()
+        right = rest - (self.after[at] & ((1 << rest) - 1)).bit_count()
+        return left + right + 1 if left + right + 1 >= self.need else 0
+
+
 def _candidates(text: list[str], low: int, high: int, template: list[str], least: float) -> list[tuple[float, int, int]]:
     """Places of the template in text[low:high], which may overlap. Each occurrence of the word of a
     rare place of the template gives a window, once whole and once cut at the word's next occurrences: a notice that is
-    repeated close by is then still aligned with one copy of itself."""
+    repeated close by is then still aligned with one copy of itself. Windows that cannot hold enough of the template are
+    not aligned; the others come by how much they may hold, and no window is aligned around a word of a place that it
+    cannot better, or of one without room for a second one that ``TRIES`` windows have given already."""
     own: dict[str, list[int]] = {}
     for k, w in enumerate(template):
         own.setdefault(w, []).append(k)
@@ -193,29 +263,36 @@ def _candidates(text: list[str], low: int, high: int, template: list[str], least
     total = Counter(template)
     if sum(min(len(at_of[w]), total[w]) for w in at_of) < need:
         return []
-    rare = sorted(range(size), key=lambda k: (len(at_of.get(template[k], ())), k))
+    rare = sorted(range(size), key=lambda k: (len(at_of.get(template[k], ())), k))[:missing]  # one is in any match
+    anchors = sorted((at, place) for place in rare for at in at_of.get(template[place], ()))
+    bounds = _Bounds(text, low, high, template, {template[k] for k in rare}, need)
+    most = {(at, place): pairs for at, place in anchors if (pairs := bounds.pairs(at, place))}
+    foreign = bounds.foreign_of
     out: list[tuple[float, int, int]] = []
     aligned: set[tuple[int, int]] = set()  # of places found
-    perfect = bytearray(high - low)
-    for place in rare[:missing]:  # at least one of these is in any match
-        found = at_of.get(template[place], [])
-        for k, at in enumerate(found):
-            if (at, place) in aligned or perfect[at - low]:
+    best = np.full(high - low, np.iinfo(np.int64).max)  # of a place found around a word: its length less twice its pairs
+    tried = np.zeros(high - low, np.int64)  # windows that gave a place with no room for a second one around a word
+    for at, place in sorted(most, key=lambda x: (-most[x], len(at_of[template[x[1]]]), x)):
+        if (at, place) in aligned or tried[at - low] >= TRIES or foreign(at) - most[at, place] >= best[at - low]:
+            continue
+        found = at_of[template[place]]
+        k = bisect_left(found, at)
+        wide = (max(low, at - 2 * size), min(high, at + 2 * size))
+        cut = (max(wide[0], found[k - 1] + 1 if k else low), min(wide[1], found[k + 1] if k + 1 < len(found) else high))
+        for a, b in dict.fromkeys((cut, wide)):
+            if (Counter(text[a:b]) & total).total() < need:
+                continue
+            pairs = _compact(_around(text, template, at, place, a, b), need)
+            start, end = pairs[0][0], pairs[-1][0] + 1
+            if len(pairs) < need or size < SHORT and (len(pairs) < size or end - start > 2 * size):
                 continue
-            wide = (max(low, at - 2 * size), min(high, at + 2 * size))
-            cut = (max(wide[0], found[k - 1] + 1 if k else low), min(wide[1], found[k + 1] if k + 1 < len(found) else high))
-            for a, b in dict.fromkeys((cut, wide)):
-                if (Counter(text[a:b]) & total).total() < need:
-                    continue
-                pairs = _compact(_around(text, template, at, place, a, b), need)
-                start, end = pairs[0][0], pairs[-1][0] + 1
-                if len(pairs) < need or size < SHORT and (len(pairs) < size or end - start > 2 * size):
-                    continue
-                out.append((len(pairs) / size, start, end))
-                aligned.update(pairs)
-                if len(pairs) == size == end - start:
-                    perfect[start - low: end - low] = b"\1" * size
-                    break
+            out.append((len(pairs) / size, start, end))
+            aligned.update(pairs)
+            inside = best[start - low: end - low]
+            np.minimum(inside, end - start - 2 * len(pairs), out=inside)
+            tried[start - low: end - low] += end - start <= size + missing
+            if len(pairs) == size == end - start:
+                break
     return out
 
 

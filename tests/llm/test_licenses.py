@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 from placelens.llm import license_scan
 
@@ -57,3 +60,40 @@ def test_changed_whole_texts_are_aligned():
         got = found(" ".join(["start", *w, "middle", *w, "end"]))
         assert [g[0] for g in got] == [name.split("#")[0]] * 2 and all(0.85 < g[1] < 1 for g in got)
     assert found("Licensed under the Foo License. Permission is granted to nobody under version 3.") == []
+
+
+def brute(text, template):
+    """Longest common subsequence by the plain table."""
+    row = [0] * (len(template) + 1)
+    for x in text:
+        before, row = row, [0]
+        for k, y in enumerate(template):
+            row.append(before[k] + 1 if x == y else max(before[k + 1], row[k]))
+    return row[-1]
+
+
+def test_bounds_are_never_below_an_alignment():
+    r = random.Random(3)
+    for _ in range(200):
+        text, template = ([r.choice("abcdef") for _ in range(r.randint(4, 40))] for _ in range(2))
+        need = 0.5 * len(template)
+        bounds = license_scan._Bounds(text, 0, len(text), template, set(template), need)
+        for at, word in enumerate(text):
+            for place in (k for k, w in enumerate(template) if w == word):
+                a, b = max(0, at - 2 * len(template)), at + 2 * len(template)
+                exact = brute(text[a:at], template[:place]) + 1 + brute(text[at + 1:b], template[place + 1:])
+                assert bounds.pairs(at, place) >= (exact if exact >= need else 0)
+                pairs = license_scan._around(text, template, at, place, a, min(b, len(text)))
+                assert len(pairs) <= exact
+
+
+def test_whole_texts_changed_and_shuffled_take_little_time():
+    r, gpl = random.Random(1), CUT["GPL-3.0#text"]
+    changed = [w if r.random() > 0.15 else r.choice(gpl) for w in gpl]
+    shuffled = r.sample(gpl, len(gpl))
+    by_sentence = [w for s in sorted(license_scan.TEMPLATES["GPL-3.0#text"].split(".")) for w in license_scan.words(s)]
+    for text, licenses in ((gpl, ["GPL-3.0"]), (changed, ["GPL-3.0"]), (shuffled, []), (by_sentence, []), (gpl * 3, ["GPL-3.0"] * 3)):
+        start = time.process_time()
+        got = license_scan.notices(text, CUT, license_scan.COVERAGE)
+        assert [g[0] for g in got if g[2] + 100 < g[3]] == licenses
+        assert time.process_time() - start < 10  # about half a second; over 45 without the bounds
