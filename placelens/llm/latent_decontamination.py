@@ -8,10 +8,13 @@ item in order is a copy; a smaller share is a paraphrase, and counts only if the
 sentence) is there too.
 
 The vocabulary of the latent space is that of the items, so its size follows the benchmark, not the
-corpus; benchmarks of more than ``BLOCK_ITEMS`` are searched block by block.
+corpus; benchmarks of more than ``BLOCK_ITEMS`` are searched block by block. The rank grows with the number of
+passages of the items, and passages of the documents are about twice as long as the items compared with them
+(``WIDTHS``), so that a short item is not lost among the words around it.
 
 Defined results: null and empty texts and items match nothing; items shorter than ``SHORT`` words must
-occur word by word; repeated rows are all found; empty tables give no matches; in ``clean`` the other
+occur word by word, and besides the latent search every occurrence of them is looked up exactly, by the item's rarest word
+and what stands around it (cosine null where only the look-up found them); repeated rows are all found; empty tables give no matches; in ``clean`` the other
 columns are carried.
 """
 
@@ -31,9 +34,11 @@ from pyspark.sql.types import StructField, StructType
 from ..session import ship
 
 WIDTH, STRIDE = 64, 32  # words of a passage
-RANK, OVERSAMPLE = 128, 16
+WIDTHS = {16: 32}  # items up to so many words are compared with passages of so many, which overlap by half
+RANK, MOST_RANK, OVERSAMPLE = 128, 384, 16  # the rank is an eighth of the passages, within these
+CHUNK = 1024  # passages of a document compared at once
 COMMON = 0.1  # terms in a larger share of the documents have no weight, unless the item has few others
-COSINE = 0.3
+COSINE = 0.2
 COVERED = 0.25  # of a passage's weight along the item's direction
 COPY, PARAPHRASE, ANSWER = 0.75, 0.5, 0.6  # shares of the item, or of its answer, in order
 SHORT = 8
@@ -66,8 +71,8 @@ def _places(words: list[bytes]) -> dict[bytes, int]:
     return out
 
 
-def _passages(n: int) -> list[tuple[int, int]]:
-    return [(a, min(n, a + WIDTH)) for a in range(0, max(1, n - WIDTH + STRIDE), STRIDE)] if n else []
+def _passages(n: int, width: int = WIDTH, stride: int = STRIDE) -> list[tuple[int, int]]:
+    return [(a, min(n, a + width)) for a in range(0, max(1, n - width + stride), stride)] if n else []
 
 
 @dataclass
@@ -79,16 +84,26 @@ class Item:
     answer_words: int
 
 
+@dataclass
+class Queries:
+    """Passages of items that are compared with passages of one width."""
+
+    width: int
+    item_of: np.ndarray  # of each passage
+    unit: np.ndarray
+    norms: np.ndarray
+
+
 @dataclass
 class Index:
     """What the workers need to search for one block of items."""
 
     items: list[Item]
-    item_of: np.ndarray  # of each passage
     term: dict[bytes, int]
     vectors: np.ndarray  # weight times right singular vectors, a row for each term
-    queries: np.ndarray  # unit vectors of the passages
-    norms: np.ndarray
+    queries: list[Queries]
+    # of short items: rarest word -> (its place, words of the item) -> the item's words -> numbers of the items
+    short: dict[bytes, dict[tuple[int, int], dict[tuple[bytes, ...], list[int]]]]
 
 
 def _item(item_id: int, text: str) -> Item:
@@ -174,10 +189,14 @@ def latent_vectors(items: DataFrame, term: dict[bytes, int], idf: dict[bytes, fl
     width = min(len(term), rank + OVERSAMPLE)
     basis = np.random.default_rng(7).standard_normal((len(term), width))
     for _ in range(rounds):  # range finder with power iterations
-        basis = _summed(items, _product(sent, context.broadcast(basis), 4096, gram=False), width)
-        basis, _ = np.linalg.qr(basis)
+        basis_sent = context.broadcast(basis)
+        basis, _ = np.linalg.qr(_summed(items, _product(sent, basis_sent, 4096, gram=False), width))
+        basis_sent.destroy()
         width = basis.shape[1]
-    squares = _summed(items, _product(sent, context.broadcast(basis), 4096, gram=True), width)
+    basis_sent = context.broadcast(basis)
+    squares = _summed(items, _product(sent, basis_sent, 4096, gram=True), width)
+    basis_sent.destroy()
+    sent.destroy()
     values, turn = np.linalg.eigh(squares)
     order = [k for k in np.argsort(values)[::-1][:rank] if values[k] > 1e-9 * max(values.max(), 1e-300)]
     return basis @ turn[:, order]
@@ -190,11 +209,13 @@ def build_index(docs: DataFrame, rows: list, text: str) -> Index | None:
     if not items:
         return None
     vocabulary = frozenset(w for x in items for w in x.words)
+    sent = spark.sparkContext.broadcast(vocabulary)
     counted = (
         docs.select(F.col(f"`{text}`").alias("text"))
-        .mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term binary, n long")
+        .mapInArrow(_frequencies(sent), "term binary, n long")
         .groupBy("term").agg(F.sum("n").alias("n")).collect()
     )  # no more rows than the items have terms
+    sent.destroy()
     found = {bytes(r["term"]) if r["term"] is not None else None: r["n"] for r in counted}
     total = found.pop(None, 0)
     weight = {t: float(np.log((total + 2) / (found.get(t, 0) + 1))) for t in vocabulary}
@@ -206,50 +227,80 @@ def build_index(docs: DataFrame, rows: list, text: str) -> Index | None:
     idf = {t: weight[t] for t in sorted(used)}
     term = {t: k for k, t in enumerate(idf)}
     frame = spark.createDataFrame([(x.item_id, " ".join(w.decode() for w in x.words)) for x in items], "item_id long, text string")
-    vectors = latent_vectors(frame, term, idf)
+    passages = sum(len(_passages(len(x.words))) for x in items)
+    vectors = latent_vectors(frame, term, idf, min(MOST_RANK, max(RANK, passages // 8)))
     scaled = np.array(list(idf.values()))[:, None] * vectors
-    item_of, queries = [], []
+    of_width: dict[int, tuple[list[int], list[np.ndarray]]] = {}
     for k, x in enumerate(items):
+        item_of, queries = of_width.setdefault(next((w for n, w in WIDTHS.items() if len(x.words) <= n), WIDTH), ([], []))
         for a, b in _passages(len(x.words)):
             at = [term[t] for t in x.words[a:b] if t in term]
             if at:
                 item_of.append(k)
                 queries.append(scaled[at].sum(axis=0))
-    matrix = np.array(queries).reshape(-1, vectors.shape[1])
+    short: dict = {}
+    for k, x in enumerate(items):
+        if (n := len(x.words)) < SHORT:
+            place = min(range(n), key=lambda j, x=x: (found.get(x.words[j], 0), j))
+            short.setdefault(x.words[place], {}).setdefault((place, n), {}).setdefault(tuple(x.words), []).append(k)
+    return Index(items, term, scaled.astype(np.float32), [_queries(w, *of_width[w], vectors.shape[1]) for w in sorted(of_width)], short)
+
+
+def _queries(width: int, item_of: list[int], rows: list[np.ndarray], rank: int) -> Queries:
+    matrix = np.array(rows).reshape(len(rows), rank)
     norms = np.linalg.norm(matrix, axis=1)
     real = norms > 1e-9
-    return Index(
-        items, np.array(item_of, np.int64)[real], term, scaled.astype(np.float32),
-        (matrix[real] / norms[real, None]).astype(np.float32), norms[real].astype(np.float32),
-    )
+    unit = matrix[real] / norms[real, None]
+    return Queries(width, np.array(item_of, np.int64)[real], unit.astype(np.float32), norms[real].astype(np.float32))
+
+
+def _short_items(index: Index, words: list[bytes]) -> set[int]:
+    """Numbers of the short items that occur word by word."""
+    out: set[int] = set()
+    anchors = index.short.keys() & set(words)
+    if anchors:
+        for at, word in enumerate(words):
+            if word in anchors:
+                for (place, n), known in index.short[word].items():
+                    if at >= place:
+                        out.update(known.get(tuple(words[at - place: at - place + n]), ()))
+    return out
 
 
-def search(index: Index, words: list[bytes]) -> dict[int, tuple[float, float]]:
-    """Items found in a document: number of the item to (cosine, share of it in order)."""
-    numbers = list(map(index.term.get, words))
-    at = np.array([k for k, x in enumerate(numbers) if x is not None], np.int64)
-    if not len(at) or not len(index.norms):
-        return {}
-    sums = np.zeros((len(at) + 1, index.vectors.shape[1]))
-    np.cumsum(index.vectors[[x for x in numbers if x is not None]], axis=0, dtype=np.float64, out=sums[1:])
-    starts = np.array([a for a, _ in _passages(len(words))])
-    lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + WIDTH)
+def _close(index: Index, queries: Queries, words: list[bytes], at: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(start of a passage, number of an item, cosine) of all candidates; ``at`` and ``numbers`` are the places of
+    the words that are terms, and their terms. Works on ``CHUNK`` passages at a time."""
+    starts = np.array([a for a, _ in _passages(len(words), queries.width, queries.width // 2)])
+    lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + queries.width)
     some = hi > lo
-    starts = starts[some]
-    latent = (sums[hi[some]] - sums[lo[some]]).astype(np.float32)
-    norms = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
-    along = latent @ index.queries.T
-    best: dict[int, tuple[float, float]] = {}
-    for p, q in zip(*np.nonzero((along >= COSINE * norms[:, None]) & (along >= COVERED * index.norms)), strict=True):
-        k = int(index.item_of[q])
-        item = index.items[k]
-        n = len(item.words)
-        if best.get(k, (0, 0.0))[1] == 1.0:
-            continue
-        region = words[max(0, starts[p] - n): starts[p] + WIDTH + n]
-        share = verify(item, region)
-        if share and share > best.get(k, (0, 0.0))[1]:
-            best[k] = (float(along[p, q] / norms[p]), share)
+    starts, lo, hi = starts[some], lo[some], hi[some]
+    for c in range(0, len(starts), CHUNK):
+        first, last = lo[c: c + CHUNK], hi[c: c + CHUNK]
+        sums = np.zeros((last[-1] - first[0] + 1, index.vectors.shape[1]))
+        np.cumsum(index.vectors[numbers[first[0]: last[-1]]], axis=0, dtype=np.float64, out=sums[1:])
+        latent = (sums[last - first[0]] - sums[first - first[0]]).astype(np.float32)
+        norms = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
+        along = latent @ queries.unit.T
+        for p, q in zip(*np.nonzero((along >= COSINE * norms[:, None]) & (along >= COVERED * queries.norms)), strict=True):
+            yield int(starts[c + p]), int(queries.item_of[q]), float(along[p, q] / norms[p])
+
+
+def search(index: Index, words: list[bytes]) -> dict[int, tuple[float | None, float]]:
+    """Items found in a document: number of the item to (cosine, share of it in order)."""
+    best: dict[int, tuple[float | None, float]] = {k: (None, 1.0) for k in _short_items(index, words)}
+    terms_at = list(map(index.term.get, words))
+    at = np.array([k for k, x in enumerate(terms_at) if x is not None], np.int64)
+    numbers = np.array([x for x in terms_at if x is not None], np.int64)
+    for queries in index.queries if len(at) else ():
+        for start, k, cosine in _close(index, queries, words, at, numbers):
+            item = index.items[k]
+            n = len(item.words)
+            held = best.get(k, (None, 0.0))
+            if held[1] == 1.0 and held[0] is not None or n < SHORT and not held[1]:
+                continue
+            share = verify(item, words[max(0, start - n): start + queries.width + n])
+            if share and (share > held[1] or held[0] is None):
+                best[k] = (cosine, share)
     return best
 
 

@@ -100,6 +100,74 @@ def test_planted_passages(spark, tables):
     assert latent_decontamination.contaminated(df, odd).count() == 0
 
 
+def test_recall_of_thousands_of_items_of_every_length(spark):
+    """Items cut from documents, planted in others word by word or reworded with the answer kept, against
+    ``verify`` on the whole document; with short ones and many that share their words."""
+    rng = random.Random(11)
+    docs = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text")
+    texts = [t for t in (r["text"] for r in docs.collect()) if t and len(t.split()) > 70]
+    lengths = [(3, 7), (8, 13), (14, 30), (31, 60)]
+    items = []
+    for k in range(2000):
+        words = rng.choice(texts).split()
+        n = rng.randint(*lengths[k % 4])
+        at = rng.randrange(len(words) - n)
+        items.append((k, " ".join(words[at:at + n])))
+    index = latent_decontamination.build_index(docs, [{"item_id": k, "text": t} for k, t in items], "text")
+    number = {x.item_id: j for j, x in enumerate(index.items)}
+    caught: dict[tuple[str, int], list[bool]] = {}
+    for k, text in rng.sample(items, 400):
+        if k not in number:
+            continue
+        item = index.items[number[k]]
+        words = text.split()
+        body = max(0, len(words) - 5)
+        kept = set(rng.sample(range(body), int(0.75 * body)))
+        changed = " ".join(w if j in kept or j >= body else f"zq{rng.randrange(999)}" for j, w in enumerate(words))
+        for kind, form in (("copy", text), ("reworded", changed)):
+            host = rng.choice(texts).split()
+            at = rng.randrange(len(host))
+            document = latent_decontamination.terms(" ".join([*host[:at], form, *host[at:]]))
+            n = len(item.words)
+            around = len(latent_decontamination.terms(" ".join(host[:at])))
+            if latent_decontamination.verify(item, document[max(0, around - 2):around + n + 2]):
+                caught.setdefault((kind, k % 4), []).append(number[k] in latent_decontamination.search(index, document))
+    for key, hits in caught.items():
+        if len(hits) > 30:
+            assert sum(hits) >= 0.97 * len(hits), (key, sum(hits), len(hits))
+    hits = [hit for found in caught.values() for hit in found]
+    assert all(caught["copy", 0]) and len(caught) >= 7 and sum(hits) >= 0.99 * len(hits)
+
+
+def test_short_items_are_looked_up_exactly(spark):
+    rng = random.Random(2)
+    docs = [[rng.choice("abcde").encode() for _ in range(rng.randint(0, 40))] for _ in range(300)]
+    frame = spark.createDataFrame([(k, b" ".join(d).decode()) for k, d in enumerate(docs)], "doc_id long, text string")
+    items = [(k, " ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7)))) for k in range(60)] + [(60, "a"), (61, "a")]
+    index = latent_decontamination.build_index(frame, [{"item_id": k, "text": t} for k, t in items], "text")
+    for d in docs:
+        want = {k for k, t in items if any(d[j:j + len(t.split())] == t.encode().split() for j in range(len(d)))}
+        assert latent_decontamination.search(index, d).keys() == want
+
+
+def test_long_texts_are_compared_in_chunks(spark):
+    """A text of half a million words takes a bounded part of memory; items at its start, middle and end are found."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(20))) for k in range(200)]
+    frame = spark.createDataFrame([(k, t) for k, t in items], "doc_id long, text string")
+    index = latent_decontamination.build_index(frame, [{"item_id": k, "text": t} for k, t in items], "text")
+    words = [f"w{rng.randrange(3000)}".encode() for _ in range(500_000)]
+    for at, k in ((0, 3), (250_000, 4), (499_980, 5)):
+        words[at:at + 20] = items[k][1].encode().split()
+    tracemalloc.start()
+    found = latent_decontamination.search(index, words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {3, 4, 5} <= found.keys() and peak < 250_000_000
+
+
 @given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=12), st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), max_size=14))
 @settings(max_examples=300, deadline=None)
 def test_longest_common_subsequence(x, y):
