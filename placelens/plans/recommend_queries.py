@@ -53,6 +53,21 @@ def _recommended(s: SparkSession, d: str, decimals: bool = False) -> DataFrame:
     )
 
 
+def _own_topics(s: SparkSession, d: str) -> DataFrame:
+    """Explained topics of the towns that are recommended, from the topics of their own reviews."""
+    said = _topics(s, d).drop("Town").join(_reviews(s, d).select("row_id", "Town"), "row_id")
+    return topics.topic_explanation(topics.topic_distribution(said), _topic_words(s, d))
+
+
+def _explained(s: SparkSession, d: str) -> DataFrame:
+    """Recommendations with the cluster, its colour and the explained topics of each town; a town without topics
+    has an empty list or null."""
+    return hybrid.recommend(
+        _queries(s, d), _corpus(s, d), _profiles(s, d), _alphas(s, d), entity_meta(_cells(s, d)),
+        clusters=_assigned(s, d), topics=_own_topics(s, d), top_n=TOP, k=K,
+    )
+
+
 def _scored(s: SparkSession, d: str) -> DataFrame:
     votes = hybrid.neighbour_vote(_near(s, d))
     scored = hybrid.score_hybrid(_queries(s, d), votes, _profiles(s, d), _alphas(s, d), TOP)
@@ -164,6 +179,7 @@ QUERIES = {
     "e12_alpha_extremes": lambda s, d: rounded(hybrid.alpha_extremes(_alphas(s, d))),
     "e13_score_hybrid": lambda s, d: rounded(_scored(s, d)),
     "e14_recommend": lambda s, d: rounded(_recommended(s, d)),
+    "e14_recommend_explained": _explained,
     "e15_validate_queries": _requests,
     "e16_present_recommendations": lambda s, d: requests.present_recommendations(_recommended(s, d)).select(
         "query_id", "rank", "pueblo", "bar_pct", "stars", "alpha_label"),

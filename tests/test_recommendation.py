@@ -106,3 +106,22 @@ def test_profiles_are_plain_means(spark):
     assert profiles.entity_profile_first_n(df, 4).first()["profile"] == [1.5, 1.0]
     assert profiles.entity_profile_stratified(df, 5).first()["profile"] == [2.0, 1.0]
     assert df.agg(F.count("*")).first()[0] == 20
+
+
+def test_registered_recommendation_with_clusters_and_topics(spark):
+    """The rows of the plain recommendation; cluster, colour and topics are those of their own queries."""
+    from placelens.plans import recommend_queries as plans
+    from placelens.session import ship
+
+    sf = "/root/testdata/sf0.001"
+    ship(spark)
+    got = plans.QUERIES["e14_recommend_explained"](spark, sf).collect()
+    plain = plans._recommended(spark, sf, decimals=True).collect()
+    names = [c for c in plain[0].asDict()]
+    assert sorted(map(repr, ([r[c] for c in names] for r in got))) == sorted(map(repr, ([r[c] for c in names] for r in plain)))
+    clusters = {r["Town"]: r["cluster"] for r in plans._assigned(spark, sf).collect()}
+    topicos = {r["Town"]: r["topicos"] for r in plans._own_topics(spark, sf).collect()}
+    assert all(r["cluster"] == clusters[r["pueblo"]] and r["color"] for r in got)
+    assert all(r["topicos"] == topicos.get(r["pueblo"]) for r in got) and any(r["topicos"] for r in got)
+    for town, entries in topicos.items():  # a review's label is its town's number and its topic; 9 is an outlier
+        assert [e["topico"] for e in entries] == ([] if town == "T9" else [town])
