@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import clustering, evaluation, hybrid, maps, neighbours, profiles, requests, sampling, topics
+from ..operators import clustering, evaluation, hybrid, maps, neighbours, pivots, profiles, requests, sampling, topics
 from ..operators.counts import review_cells
 from ..operators.entities import entity_meta
 from ..sources import artifacts, fixtures
@@ -172,8 +172,10 @@ QUERIES = {
     "e5_cosine_search": lambda s, d: rounded(neighbours.cosine_search(_queries(s, d), _profiles(s, d), 3)),
     "e6_similar_entities": lambda s, d: rounded(neighbours.similar_entities(_profiles(s, d), 3)),
     "e7_most_similar_pairs": lambda s, d: rounded(neighbours.most_similar_pairs(_profiles(s, d), 10)),
+    "e7_pairs_by_pivots": lambda s, d: rounded(pivots.closest_pairs(_profiles(s, d), 10).rows),
     "e8_stratified_corpus": lambda s, d: _corpus(s, d).select("row_id", "Town", "Polarity"),
     "e9_knn": lambda s, d: rounded(_near(s, d)),
+    "e9_knn_by_pivots": lambda s, d: rounded(pivots.search(_queries(s, d), _corpus(s, d), K + 1, payload=("Town", "Polarity")).rows),
     "e10_neighbour_vote": lambda s, d: rounded(hybrid.neighbour_vote(_near(s, d))),
     "e11_dynamic_alpha": lambda s, d: rounded(_alphas(s, d)),
     "e12_alpha_extremes": lambda s, d: rounded(hybrid.alpha_extremes(_alphas(s, d))),
@@ -408,3 +410,6 @@ ORACLE = {
         WHERE r = 1 GROUP BY topic"""),
 }
 ORACLE["g7_evaluate"] = ORACLE["a3_metrics_file"]
+# The searches by pivots return the rows of the full grids.
+ORACLE["e7_pairs_by_pivots"] = ORACLE["e7_most_similar_pairs"]
+ORACLE["e9_knn_by_pivots"] = ORACLE["e9_knn"]
