@@ -2,46 +2,76 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 METRICS_SCHEMA = (
     "method string, n_eval long, `HR@1` double, `HR@3` double, `HR@5` double, "
     "`HR@10` double, MRR double, `NDCG@5` double, rank_mean double"
 )
-_CONTENTS = "_contents"
+_SETS, _LIST = "sets", "list"
+_LINE = "set_name string, folder string, names array<string>, written long"
 
 
-def save_artifacts(path: str, **frames: DataFrame) -> None:
-    """Write every frame as parquet, then the list of names. A set without its list is
-    incomplete and is never loaded, so a run that died half way is simply built again."""
-    for name, frame in frames.items():
-        frame.write.mode("overwrite").parquet(f"{path}/{name}")
+def fingerprint(parameters: Mapping[str, object] | None = None, **inputs: DataFrame) -> str:
+    """Name of what is built from these inputs with these parameters (anything JSON can hold).
+
+    An input counts with its schema, its number of rows and the sum of its rows' hashes: one scan, one row to
+    the driver, the same for any order and partitioning. Maps cannot be hashed and must be left out.
+    """
+    parts = {"parameters": dict(parameters or {})}
+    for name, frame in sorted(inputs.items()):
+        names = sorted(frame.columns)
+        row = F.xxhash64(*[F.col(f"`{c}`") for c in names], F.array(*[F.col(f"`{c}`").isNull() for c in names]))
+        found = frame.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("sum")).first()
+        types = {f.name: f.dataType.simpleString() for f in frame.schema}
+        parts[f"input {name}"] = [types, found["n"], str(found["sum"])]
+    return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
+
+
+def save_artifacts(path: str, /, *, set_name: str = "", **frames: DataFrame) -> None:
+    """Write a set of frames as parquet to a folder of its own, then the line of the list that commits it.
+
+    A set without its line is never loaded, so a run that died half way is simply built again. No folder is
+    written twice: a set that another job reads stays as it is, and the newest line of a name counts.
+    """
     spark = next(iter(frames.values())).sparkSession
-    names = spark.createDataFrame([(name,) for name in frames], "name string")
-    names.coalesce(1).write.mode("overwrite").parquet(f"{path}/{_CONTENTS}")
+    folder = uuid.uuid4().hex
+    for name, frame in frames.items():
+        frame.write.parquet(f"{path}/{_SETS}/{folder}/{name}")
+    line = spark.createDataFrame([(set_name, folder, list(frames), time.time_ns())], _LINE)
+    line.coalesce(1).write.mode("append").parquet(f"{path}/{_LIST}")
 
 
-def load_artifacts(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
-    """Frames by name, or None if there is no complete set."""
+def load_artifacts(spark: SparkSession, path: str, set_name: str = "") -> dict[str, DataFrame] | None:
+    """Frames by name of the newest complete set of that name, or None if there is none."""
     try:
-        names = [row.name for row in spark.read.parquet(f"{path}/{_CONTENTS}").collect()]
+        lines = spark.read.schema(_LINE).parquet(f"{path}/{_LIST}")
+        newest = lines.where(F.col("set_name") == set_name).orderBy(F.desc("written"), "folder").first()
     except AnalysisException:
         return None
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    if newest is None:
+        return None
+    return {name: spark.read.parquet(f"{path}/{_SETS}/{newest['folder']}/{name}") for name in newest["names"]}
 
 
 def load_or_build(
-    spark: SparkSession, path: str, build: Callable[[], Mapping[str, DataFrame]]
+    spark: SparkSession, path: str, build: Callable[[], Mapping[str, DataFrame]], set_name: str = ""
 ) -> dict[str, DataFrame]:
     """Saved frames if complete, else ``build()`` them, save them and read them back, so
-    that what follows starts from files and not from a long lineage."""
-    loaded = load_artifacts(spark, path)
+    that what follows starts from files and not from a long lineage. With a ``fingerprint`` as the name,
+    other inputs or parameters build another set."""
+    loaded = load_artifacts(spark, path, set_name)
     if loaded is None:
-        save_artifacts(path, **build())
-        loaded = load_artifacts(spark, path)
+        save_artifacts(path, set_name=set_name, **build())
+        loaded = load_artifacts(spark, path, set_name)
     return loaded
 
 
