@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sampling import draw_at_least
 from ..session import ship, written
 
 UNKNOWN = "und"
@@ -77,7 +78,9 @@ def fit_text_model(docs: DataFrame, text: str, lang: str, doc_id: str, sample: i
         F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")
     ).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = named.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= sample).groupBy("lang").agg(F.max("h").alias("last"))
+    share = F.col("h").cast("double") / 2.0**64 + 0.5
+    drawn = draw_at_least(named.select("lang", "h"), ["lang"], share, sample)  # little more than ``sample`` of each
+    last = drawn.withColumn("nth", nth).where(F.col("nth") <= sample).groupBy("lang").agg(F.max("h").alias("last"))
     found = (
         named.join(F.broadcast(last), "lang").where("h <= last").select("lang", "text")  # a row for each language
         .mapInArrow(_counts, "lang string, counts binary")
