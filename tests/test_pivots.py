@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from placelens.operators import neighbours, pivots
 from placelens.session import ship
@@ -79,3 +80,13 @@ def test_no_pairs(spark):
     assert pivots.closest_pairs(nobody).rows.count() == 0
     one = spark.createDataFrame([("A", [1.0])], "Town string, profile array<double>")
     assert pivots.closest_pairs(one).rows.count() == 0
+
+
+def test_copies_of_queries_leave_a_task_in_bounded_batches():
+    """Without groups every query visits every cell: one batch held all copies of its rows."""
+    table = pa.table({"query_id": range(2000), "_asked": [[float(k), 1.0] for k in range(2000)]})
+    row, cell = np.nonzero(np.ones((2000, 30), bool))
+    found = list(pivots._copies(table, row, cell))
+    assert max(b.num_rows for b in found) <= pivots.VISITS
+    made = pa.Table.from_batches(found)
+    assert made.column("query_id").to_pylist() == row.tolist() and made.column("_cell").to_pylist() == cell.tolist()
