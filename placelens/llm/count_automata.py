@@ -34,13 +34,32 @@ class Grams:
         return Grams([c[low:high] for c in self.columns], self.counts[low:high])
 
 
+def _bits(values: np.ndarray) -> int:
+    return int(values.max()).bit_length() if len(values) else 0
+
+
+def _order(wide: list[np.ndarray]) -> np.ndarray:
+    """Order of the rows; equal rows stand in any order. The first two words are replaced by the rank of their
+    pair, so that a row is one number and is sorted as that."""
+    width = max(map(_bits, wide))
+    tail = _bits(wide[2]) + (last := _bits(wide[3]))
+    if 2 * width <= 64 and len(wide[0]):
+        pair = (wide[0] << np.uint64(width)) | wide[1]
+        order = np.argsort(pair)
+        pair = pair[order]
+        rank = np.empty(len(pair), np.uint64)
+        rank[order] = np.cumsum(np.r_[False, pair[1:] != pair[:-1]], dtype=np.uint64)
+        if int(rank.max()).bit_length() + tail <= 64:
+            return np.argsort((rank << np.uint64(tail)) | (wide[2] << np.uint64(last)) | wide[3])
+    return np.lexsort(wide[::-1])
+
+
 def sorted_grams(columns: list[np.ndarray], counts: np.ndarray | None = None) -> Grams:
     """Sort the rows and add the counts of equal ones."""
     n = len(columns[0])
     wide = [c.astype(np.uint64) for c in columns]
-    high, low = (wide[0] << np.uint64(32)) | wide[1], (wide[2] << np.uint64(32)) | wide[3]
-    order = np.lexsort((low, high))
-    high, low = high[order], low[order]
+    order = _order(wide)
+    high, low = ((a << np.uint64(32) | b)[order] for a, b in (wide[:2], wide[2:]))
     first = np.ones(n, bool)
     first[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
     at = np.flatnonzero(first)
@@ -85,8 +104,11 @@ def _merge_states(first: np.ndarray, label: np.ndarray, weight: np.ndarray, targ
     x ^= x >> np.uint64(32)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
     code = (sums[first[1:]] - sums[first[:-1]]) * _A + size.astype(np.uint64)
-    _, model, which = np.unique(code, return_index=True, return_inverse=True)
-    model = model[which]
+    order = np.argsort(code)
+    changed = np.ones(len(order), bool)
+    changed[1:] = code[order][1:] != code[order][:-1]
+    model = np.empty(len(order), np.int64)
+    model[order] = order[changed][np.cumsum(changed) - 1]
     # equal hashes are compared arc by arc; a state that differs stays by itself
     state = np.repeat(np.arange(len(size)), size)
     inside = np.arange(len(label)) - first[:-1][state]
@@ -96,8 +118,10 @@ def _merge_states(first: np.ndarray, label: np.ndarray, weight: np.ndarray, targ
     differs = (label[twin] != label) | (weight[twin] != weight) | (target[twin] != target)
     wrong[state[differs]] = True
     model = np.where(wrong, np.arange(len(size)), model)
-    kept = np.unique(model)
-    classes = np.searchsorted(kept, model)
+    mask = np.zeros(len(size), bool)
+    mask[model] = True
+    kept = np.flatnonzero(mask)
+    classes = (np.cumsum(mask) - 1)[model]
     sizes = size[kept]
     start = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
     arcs = np.repeat(first[:-1][kept] - start[:-1], sizes) + np.arange(start[-1])
@@ -115,8 +139,11 @@ class CountAutomaton:
     def build(cls, grams: Grams, words: list[bytes]) -> CountAutomaton:
         """From sorted sequences; words that do not occur are left out. The deepest states are finished
         and merged first, then those before them, since a target must be final before its arc can be compared."""
-        used = np.unique(np.concatenate(grams.columns)) if len(grams) else np.zeros(0, np.int64)
-        used = used[used > 0]
+        occurs = np.zeros(len(words) + 1, bool)
+        for column in grams.columns:
+            occurs[column] = True
+        occurs[0] = False
+        used = np.flatnonzero(occurs)
         number = np.zeros(len(words) + 1, np.int64)
         number[used] = np.arange(1, len(used) + 1)
         n = len(grams)
