@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from ..session import written
 
 
+#: Rows that are worth a task of their own.
+TASK_ROWS = 100_000
+LEAST_TASKS = 32
+
+
+def in_few_tasks(df: DataFrame, most_rows: int) -> DataFrame:
+    """The last stage of ``df`` in no more tasks than so many rows need: short rounds over small tables would
+    otherwise leave the driver a status, a file and events for every shuffle partition."""
+    return df.coalesce(max(LEAST_TASKS, -(-most_rows // TASK_ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b: long): the smallest node it is connected to.
 
@@ -24,9 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = written(
-            small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components"
-        )
+        stars = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        # a step makes at most two rows of one
+        pairs = written(in_few_tasks(stars, 2 * before[0]) if before else stars, "components")
         now = tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from .components import components
+from .components import components, in_few_tasks
 from .words import mixed, pack48, shingle_set, unpack48, words_of
 
 SHINGLE = 5
@@ -381,7 +381,6 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spark = sets.sparkSession
     postings = _one_list_of_each(postings)
     total = postings.count()
-    links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, label long")
     useful = True
     for turn in range(STAR_ROUNDS + 1):
@@ -389,7 +388,7 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             "token", "class", "n", "place", F.coalesce("label", "class").alias("label")
         )
         lists = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        rows = written(rows.join(lists.select("token"), "token"), "open-postings")
+        rows = written(in_few_tasks(rows.join(lists.select("token"), "token"), total), "open-postings")
         by_label = rows.groupBy("token", "label").count().groupBy("token").agg(
             (F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("crossing")
         )
@@ -411,8 +410,8 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 F.least("class", "c2").alias("a"), F.greatest("class", "c2").alias("b")
             ).distinct()
         found = _verified(pairs, sets, percent, sketched=last)
-        links = links.unionByName(found)
-        labels = components(links)
+        # what is connected already enters as one pair a set, so that rounds do not add up in the plan
+        labels = components(found.unionByName(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))))
         if last:
             break
         useful = found.count() * USEFUL > total
