@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .pieces import CutTexts
+from .worker import held
 
 MOST_BYTES = 64 << 20  # of a vocabulary file that is sent to the workers
 MOST_PAIRS = 250_000  # of neighbours known to fit or not, about 30 MB
@@ -142,21 +143,18 @@ class BacktrackEncoder:
         return out
 
 
-_MADE: dict[bytes, tuple[BacktrackEncoder, CutTexts]] = {}
-
-
 def _encoder(content: bytes, pattern: str) -> tuple[BacktrackEncoder, CutTexts]:
     """Made once in a worker for each vocabulary and pattern."""
-    key = hashlib.sha256(content + pattern.encode()).digest()
-    if key not in _MADE:
-        _MADE.clear()  # a worker holds one
+
+    def made() -> tuple[BacktrackEncoder, CutTexts]:
         encoder, matches = BacktrackEncoder(read_ranks(content)), regex.compile(pattern)
 
         def make(unit: str) -> bytes:
             return b"".join([array("I", encoder.encode_piece(piece.encode())).tobytes() for piece in matches.findall(unit)])
 
-        _MADE[key] = encoder, CutTexts(lambda units: [make(unit) for unit in units])
-    return _MADE[key]
+        return encoder, CutTexts(lambda units: [make(unit) for unit in units])
+
+    return held(("backtrack", hashlib.sha256(content + pattern.encode()).digest()), made)
 
 
 def vocabulary(path: str) -> bytes:

@@ -28,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..session import ship, written
+from .worker import let_go
 
 MEMORY_BYTES = 64 << 20
 FANOUT = 16
@@ -114,6 +115,7 @@ def grace_groups(records: Iterable[list], merge, memory: int, depth: int = 0) ->
 
 def _local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each batch, one row of every text with its content, and for all others that row's id."""
+    let_go()
     for batch in batches:
         rids, ids = batch.column("rid").to_pylist(), batch.column("id").to_pylist()
         table = ContentTable()
@@ -162,6 +164,8 @@ def _join_groups(kept: list, new: list) -> int:
 
 def _grace(schema: pa.Schema, memory: int, rows: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+
         def records() -> Iterator[list]:
             for batch in batches:
                 whole = batch.column("row")

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from ..session import ship, written
 from .components import components, in_few_tasks
 from .words import mixed, pack48, shingle_set, unpack48, words_of
+from .worker import let_go
 
 SHINGLE = 5
 PERCENT = 75
@@ -56,6 +57,7 @@ def _class_of(tokens: np.ndarray) -> int:
 
 def _sizes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             sets = [_set_of(text, width) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -111,6 +113,7 @@ def _tokens(width: int, bits: int):
             owner = np.repeat(np.array(owners, np.int64), [len(x) for x in sets])
             return _bucketed((token >> shift).astype(np.int32), owner, token, None)
 
+        let_go()
         sets, owners, size = [], [], 0
         for batch in batches:
             seen: set[int] = set()

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import draw_at_least
 from ..session import ship, written
+from .worker import let_go
 
 UNKNOWN = "und"
 SAMPLE = 1_000  # labelled documents of each language that the text model is fitted on
@@ -52,6 +53,7 @@ def _content(text: str) -> bytes:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -99,6 +101,7 @@ def _likelihoods(model, at: list[str]):
     """Keeps the columns ``at`` and adds the tempered log-likelihoods and the languages' shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         table = model.value
         prior = np.log(np.r_[np.full(table.shape[1] - 1, 1.0), UNKNOWN_PRIOR])
         for batch in batches:

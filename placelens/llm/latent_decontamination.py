@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import ship
+from .worker import let_go
 
 WIDTH, STRIDE = 64, 32  # words of a passage
 WIDTHS = {16: 32}  # items up to so many words are compared with passages of so many, which overlap by half
@@ -115,6 +116,7 @@ def _item(item_id: int, text: str) -> Item:
 
 def _frequencies(vocabulary) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known = vocabulary.value
         total: Counter = Counter()
         rows = 0
@@ -319,6 +321,7 @@ def verify(item: Item, region: list[bytes]) -> float:
 
 def _matches(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         ready = index.value
         for batch in batches:
             rows = {"doc_id": [], "item_id": [], "cosine": [], "share": []}
@@ -335,6 +338,7 @@ def _matches(index):
 
 def _without(index, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         ready = index.value
         for batch in batches:
             yield batch.filter(pa.array([not search(ready, terms(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
