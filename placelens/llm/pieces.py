@@ -10,6 +10,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _RUNS = re.compile(r"\s\s")
 _BLANK = re.compile(r"(?<=\S)(?= \S)")
@@ -18,14 +23,34 @@ PUNCTUATION = ".,;:!?&%$#*)\"|"  # no apostrophe, which may belong to what follo
 MOST_BYTES = 96 << 20  # of the table that a worker holds, as estimated
 ENTRY_BYTES = 200  # of a unit besides its characters and ids: two objects and their place in the table
 LONG_UNIT = 64  # characters; longer units are not kept
-GROUP_CHARS = 1_000_000  # of text whose units are looked up together
+GROUP_CHARS = 2_000_000  # of text whose units are looked up together
 
 
 def units_of(text: str) -> list[str]:
     """The units of a text, each with the blank before it."""
-    if _CUT in text or _RUNS.search(text):
+    if _CUT in text:
         return _BLANK.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split(_CUT)
+    return _marked(text).split(_CUT)
+
+
+def _marked(text: str) -> str:
+    """A text that has no ``_CUT``, with it between units."""
+    if _RUNS.search(text):
+        return _BLANK.sub(_CUT, text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+
+
+def _numbered(texts: list[str]) -> tuple[np.ndarray, pa.Array, list[str]]:
+    """Where the units of each text end; a number for each unit; the different units by number."""
+    if any(_CUT in text for text in texts):
+        lists = list(map(units_of, texts))
+        numbered = pa.array(chain.from_iterable(lists), pa.large_string()).dictionary_encode()
+        return np.cumsum(list(map(len, lists))), numbered.indices, numbered.dictionary.to_pylist()
+    split = pc.split_pattern(pa.array(map(_marked, texts), pa.large_string()), _CUT)
+    numbered = split.values.dictionary_encode()
+    listed = pa.ListArray.from_arrays([0, len(numbered.dictionary)], numbered.dictionary)
+    units = pc.binary_join(listed, pa.scalar(_CUT, pa.large_string()))[0].as_py().split(_CUT)  # takes less time than a string after the other
+    return split.offsets.to_numpy()[1:], numbered.indices, units
 
 
 class CutTexts:
@@ -56,13 +81,12 @@ class CutTexts:
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         if self._size >= self._half:
             self._old, self.new, self._size = self.new, {}, 0
-        units, ends = [], []
-        for text in texts:
-            units += units_of(text)
-            ends.append(len(units))
+        if not texts:
+            return
+        ends, numbers, units = _numbered(texts)
         found = list(map(self.new.get, units))
         if None in found:
-            missing = {unit for unit, ids in zip(units, found, strict=True) if ids is None}
+            missing = [unit for unit, ids in zip(units, found, strict=True) if ids is None]
             self._fill(missing)
             found = list(map(self.new.__getitem__, units))
             for unit in missing:
@@ -70,41 +94,39 @@ class CutTexts:
                     for part in (unit, unit.rstrip(PUNCTUATION), unit[len(unit.rstrip(PUNCTUATION)):]):
                         if len(part) > LONG_UNIT and part in self.new:
                             self._size -= _cost(part, self.new.pop(part))
-        begin = 0
-        for end in ends:
-            yield b"".join(found[begin:end])
-            begin = end
-
-    def _fill(self, missing: set[str]) -> None:
-        """Put all of ``missing`` in the newer generation."""
-        cut, wanted = [], set()
-        for unit in missing:
-            if unit in self._old:
-                self._put(unit, self._old[unit])
-                continue
-            stem = unit.rstrip(PUNCTUATION)
-            if stem != unit and stem and stem[-1].isalpha():
-                cut.append((unit, stem, unit[len(stem):]))
-                wanted.update(cut[-1][1:])
-            else:
-                wanted.add(unit)
-        make = []
-        for unit in wanted:
-            if unit in self.new:
-                continue
-            if unit in self._old:
-                self._put(unit, self._old[unit])
-            else:
-                make.append(unit)
+        joined = pa.array(found, pa.large_binary()).take(numbers)
+        _, places, content = joined.buffers()
+        stops = np.frombuffer(places, np.int64)[ends].tolist()
+        for begin, end in zip([0, *stops], stops, strict=False):
+            yield content[begin:end].to_pybytes()
+
+    def _fill(self, missing: list[str]) -> None:
+        """Put all of ``missing``, which are different, in the newer generation."""
+        missing = self._remembered(missing)
+        stems = [unit.rstrip(PUNCTUATION) for unit in missing]
+        ends = [stem is not unit and stem[-1:].isalpha() for unit, stem in zip(missing, stems, strict=True)]
+        wanted = {stem if end else unit for unit, stem, end in zip(missing, stems, ends, strict=True)}
+        cut = [(unit, stem, unit[len(stem):]) for unit, stem, end in zip(missing, stems, ends, strict=True) if end]
+        wanted.update([end for _, _, end in cut])
+        make = self._remembered([unit for unit in wanted if unit not in self.new])
         if make:
-            for unit, ids in zip(make, self._make_many(make), strict=True):
-                self._put(unit, ids)
-        for unit, stem, end in cut:
-            self._put(unit, self.new[stem] + self.new[end])
-
-    def _put(self, unit: str, ids: bytes) -> None:
-        self.new[unit] = ids
-        self._size += _cost(unit, ids)
+            self._put(make, self._make_many(make))
+        new = self.new
+        self._put([unit for unit, _, _ in cut], [new[stem] + new[end] for _, stem, end in cut])
+
+    def _remembered(self, units: list[str]) -> list[str]:
+        """Move what the older generation has to the newer; the others."""
+        old = self._old
+        moved = [unit for unit in units if unit in old]
+        if not moved:
+            return units
+        self._put(moved, list(map(old.__getitem__, moved)))
+        return [unit for unit in units if unit not in old]
+
+    def _put(self, units: list[str], made: list[bytes]) -> None:
+        """Units that the newer generation does not have."""
+        self.new.update(zip(units, made, strict=True))
+        self._size += ENTRY_BYTES * len(units) + sum(map(len, units)) + sum(map(len, made))
 
 
 def _cost(unit: str, ids: bytes) -> int:

@@ -17,8 +17,10 @@ keep all their rows; an empty table gives an empty folder that reads as no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from ..session import scratch, ship, written
 from .backtrack_bpe import vocabulary
 from .pieces import CutTexts
+from .worker import held
 
 BLOCK_IDS = 1 << 20
 _NULL_ID = -(1 << 63)
@@ -57,22 +60,52 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return words[offset] & _MASK[length]
 
 
-_MADE: dict[bytes, CutTexts] = {}
+_LINED = re.compile(r" \S+")
+LINE_UNITS = 2000  # encoded at once
+
+
+def _many(tokenizer, kind: str) -> Callable[[list[str]], list[bytes]]:
+    """Ids of units. Those of a blank and what is no white space are encoded in lines, where the pattern
+    cuts before every blank; how many bytes each token stands for tells where the ids of a unit end."""
+    width, ids_by_token = np.dtype(kind).itemsize, tokenizer.get_vocab(with_added_tokens=False)
+    n_bytes = np.zeros(1 + max(tokenizer.get_vocab().values(), default=0), np.int64)
+    n_bytes[list(ids_by_token.values())] = list(map(len, ids_by_token))  # written with a character for each byte
+    for k, token in tokenizer.get_added_tokens_decoder().items():
+        n_bytes[k] = len(token.content.encode())
+
+    def alone(units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def line(units: list[str]) -> list[bytes]:
+        (found,) = tokenizer.encode_batch_fast(["".join(units)], add_special_tokens=False)
+        ids = np.array(found.ids, kind)
+        length = n_bytes[ids]
+        ends, wanted = np.cumsum(length), np.cumsum([len(unit.encode()) for unit in units])
+        if not len(ids) or not length.all() or ends[-1] != wanted[-1]:
+            return alone(units)  # tokens do not tell their bytes
+        stops = np.searchsorted(ends, wanted)
+        if (ends[stops] != wanted).any():
+            return alone(units)
+        content, stops = ids.tobytes(), ((stops + 1) * width).tolist()
+        return [content[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def make_many(units: list[str]) -> list[bytes]:
+        fit = list(map(_LINED.fullmatch, units))
+        lined = list(compress(units, fit))
+        in_lines = chain.from_iterable(line(lined[a: a + LINE_UNITS]) for a in range(0, len(lined), LINE_UNITS))
+        others = iter(alone([unit for unit, x in zip(units, fit, strict=True) if not x]))
+        return [next(in_lines if x else others) for x in fit]
+
+    return make_many
 
 
 def _tokenizer(content: bytes, kind: str) -> CutTexts:
-    key = hashlib.sha256(content).digest()
-    if key not in _MADE:
+    def made() -> CutTexts:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_buffer(content)
-
-        def make_many(units: list[str]) -> list[bytes]:
-            return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return CutTexts(_many(Tokenizer.from_buffer(content), kind))
 
-        _MADE.clear()  # a worker holds one
-        _MADE[key] = CutTexts(make_many)
-    return _MADE[key]
+    return held(("token files", hashlib.sha256(content).digest(), kind), made)
 
 
 def _encode(content, kind: str, end: bytes):
