@@ -24,6 +24,9 @@ MOST_BYTES = 96 << 20  # of the table that a worker holds, as estimated
 ENTRY_BYTES = 200  # of a unit besides its characters and ids: two objects and their place in the table
 LONG_UNIT = 64  # characters; longer units are not kept
 GROUP_CHARS = 2_000_000  # of text whose units are looked up together
+GROUP_BYTES = 12_000_000  # of text, likewise, where the table is a column
+PART_BYTES = 100  # of a part besides its characters and ids: offsets, and its place among the parts as they are numbered
+_ENDED = r"[A-Za-zÀ-ÖØ-öø-ʯ]$"  # letters in every version of Unicode that a tokenizer may have
 
 
 def units_of(text: str) -> list[str]:
@@ -40,17 +43,27 @@ def _marked(text: str) -> str:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
 
 
-def _numbered(texts: list[str]) -> tuple[np.ndarray, pa.Array, list[str]]:
-    """Where the units of each text end; a number for each unit; the different units by number."""
+def _cut(texts: list[str]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Where the units of each text end; the units, numbered."""
     if any(_CUT in text for text in texts):
         lists = list(map(units_of, texts))
-        numbered = pa.array(chain.from_iterable(lists), pa.large_string()).dictionary_encode()
-        return np.cumsum(list(map(len, lists))), numbered.indices, numbered.dictionary.to_pylist()
+        return np.cumsum(list(map(len, lists))), pa.array(chain.from_iterable(lists), pa.large_string()).dictionary_encode()
     split = pc.split_pattern(pa.array(map(_marked, texts), pa.large_string()), _CUT)
-    numbered = split.values.dictionary_encode()
-    listed = pa.ListArray.from_arrays([0, len(numbered.dictionary)], numbered.dictionary)
-    units = pc.binary_join(listed, pa.scalar(_CUT, pa.large_string()))[0].as_py().split(_CUT)  # takes less time than a string after the other
-    return split.offsets.to_numpy()[1:], numbered.indices, units
+    return split.offsets.to_numpy()[1:], split.values.dictionary_encode()
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """The strings of a column without nulls."""
+    if not len(column) or pc.any(pc.match_substring(column, _CUT)).as_py():
+        return column.to_pylist()
+    listed = pa.ListArray.from_arrays([0, len(column)], column)
+    return pc.binary_join(listed, pa.scalar(_CUT, column.type))[0].as_py().split(_CUT)  # takes less time than a string after the other
+
+
+def _numbered(texts: list[str]) -> tuple[np.ndarray, pa.Array, list[str]]:
+    """Where the units of each text end; a number for each unit; the different units by number."""
+    ends, units = _cut(texts)
+    return ends, units.indices, _strings(units.dictionary)
 
 
 class CutTexts:
@@ -131,3 +144,76 @@ class CutTexts:
 
 def _cost(unit: str, ids: bytes) -> int:
     return ENTRY_BYTES + len(unit) + len(ids)
+
+
+class CutColumns:
+    """The joined ids of the units of a column of texts.
+
+    As ``CutTexts``, but units meet their ids without an object for each. The table holds parts, which are units
+    without the punctuation behind a letter, and such punctuation. It stands before the parts of a group as they are
+    numbered, so the numbers of parts are their places in it. When it is over the bytes allowed, parts that were
+    not met again since the last time go, and the oldest of the others until half of the bytes are free."""
+
+    def __init__(self, make_many: Callable[[list[str]], list[bytes]], most_bytes: int = MOST_BYTES) -> None:
+        self._make_many, self._most = make_many, most_bytes
+        self.parts, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self._again = np.zeros(0, bool)
+
+    def encode(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """One result for each text, in order, as arrays; null counts as empty."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + GROUP_BYTES, "right")))
+            yield self._group([text or "" for text in texts[start:stop].to_pylist()])
+            start = stop
+
+    def _group(self, texts: list[str]) -> pa.Array:
+        ends, units = _cut(texts)
+        numbers = units.indices.to_numpy()
+        ids, place = self._units(units.dictionary, np.bincount(numbers) > 1)
+        joined = ids.take(pa.array(place[numbers]))
+        self._forget()
+        _, places, content = joined.buffers()
+        stops = np.frombuffer(places, np.int64)[np.r_[0, ends]]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(stops), content])
+
+    def _units(self, units: pa.Array, twice: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Ids, and where in them those of the units stand, which are different; ``twice`` tells those that come again."""
+        stems = pc.utf8_rtrim(units, characters=PUNCTUATION)
+        cut = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(units)), pc.match_substring_regex(stems, _ENDED))
+        ended = zip(_strings(units.filter(cut)), _strings(stems.filter(cut)), strict=True)
+        tails = pa.array([unit[len(stem):] for unit, stem in ended], pa.large_string())
+        known = len(self.parts)
+        numbered = pa.concat_arrays([self.parts, pc.if_else(cut, stems, units), tails]).dictionary_encode()
+        numbers = numbered.indices[known:]
+        first, second = numbers[:len(units)], numbers[len(units):]
+        self._learn(numbered.dictionary, numbers.to_numpy())
+        self._again[first.to_numpy()[twice]] = True
+        (at,) = np.nonzero(cut.to_numpy(zero_copy_only=False))
+        ids, place = self.ids.take(first), np.arange(len(units))
+        place[at] = len(units) + np.arange(len(at))
+        behind = pc.binary_join_element_wise(ids.take(pa.array(at)), self.ids.take(second), pa.scalar(b"", pa.large_binary()))
+        return pa.concat_arrays([ids, behind]), place
+
+    def _learn(self, parts: pa.Array, met: np.ndarray) -> None:
+        """Make the ids of the parts behind those of the table."""
+        known = len(self.parts)
+        if known < len(parts):
+            self.ids = pa.concat_arrays([self.ids, pa.array(self._make_many(_strings(parts[known:])), pa.large_binary())])
+        self.parts, self._again = parts, np.r_[self._again, np.zeros(len(parts) - known, bool)]
+        self._again[met[met < known]] = True
+
+    def _forget(self) -> None:
+        length = pc.binary_length(self.parts).to_numpy()
+        keep = length <= LONG_UNIT
+        size = PART_BYTES + length + pc.binary_length(self.ids).to_numpy()
+        if size[keep].sum() > self._most:
+            keep &= self._again
+            newer = np.cumsum((size * keep)[::-1])[::-1]
+            keep &= newer <= self._most // 2
+            self._again[:] = False
+        if not keep.all():
+            kept = pa.array(keep)
+            self.parts, self.ids, self._again = self.parts.filter(kept), self.ids.filter(kept), self._again[keep]

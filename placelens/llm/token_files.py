@@ -24,13 +24,14 @@ from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch, ship, written
 from .backtrack_bpe import vocabulary
-from .pieces import CutTexts
+from .pieces import CutColumns
 from .worker import held
 
 BLOCK_IDS = 1 << 20
@@ -99,11 +100,11 @@ def _many(tokenizer, kind: str) -> Callable[[list[str]], list[bytes]]:
     return make_many
 
 
-def _tokenizer(content: bytes, kind: str) -> CutTexts:
-    def made() -> CutTexts:
+def _tokenizer(content: bytes, kind: str) -> CutColumns:
+    def made() -> CutColumns:
         from tokenizers import Tokenizer
 
-        return CutTexts(_many(Tokenizer.from_buffer(content), kind))
+        return CutColumns(_many(Tokenizer.from_buffer(content), kind))
 
     return held(("token files", hashlib.sha256(content).digest(), kind), made)
 
@@ -115,8 +116,11 @@ def _encode(content, kind: str, end: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         cut = _tokenizer(content.value, kind)
         for batch in batches:
-            ids = [x + end for x in cut.encode_all(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            at = 0
+            for ids in cut.encode(batch.column("text")):
+                ids = pc.binary_join_element_wise(ids, pa.scalar(end, pa.large_binary()), pa.scalar(b"", pa.large_binary())).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at: at + len(ids)], ids], names=["doc_id", "ids"])
+                at += len(ids)
 
     return run
 
