@@ -25,6 +25,7 @@ ENTRY_BYTES = 200  # of a unit besides its characters and ids: two objects and t
 LONG_UNIT = 64  # characters; longer units are not kept
 GROUP_CHARS = 2_000_000  # of text whose units are looked up together
 GROUP_BYTES = 12_000_000  # of text, likewise, where the table is a column
+MADE = 50_000  # parts that have objects of their own at once, while they are encoded
 PART_BYTES = 100  # of a part besides its characters and ids: offsets, and its place among the parts as they are numbered
 _ENDED = r"[A-Za-zÀ-ÖØ-öø-ʯ]$"  # letters in every version of Unicode that a tokenizer may have
 
@@ -200,8 +201,8 @@ class CutColumns:
     def _learn(self, parts: pa.Array, met: np.ndarray) -> None:
         """Make the ids of the parts behind those of the table."""
         known = len(self.parts)
-        if known < len(parts):
-            self.ids = pa.concat_arrays([self.ids, pa.array(self._make_many(_strings(parts[known:])), pa.large_binary())])
+        new = (_strings(parts[a: a + MADE]) for a in range(known, len(parts), MADE))
+        self.ids = pa.concat_arrays([self.ids, *(pa.array(self._make_many(strings), pa.large_binary()) for strings in new)])
         self.parts, self._again = parts, np.r_[self._again, np.zeros(len(parts) - known, bool)]
         self._again[met[met < known]] = True
 

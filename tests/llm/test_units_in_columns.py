@@ -61,6 +61,19 @@ def test_units_of_a_large_vocabulary_are_encoded_once(monkeypatch):
     assert len(asked) < 600_010
 
 
+def test_parts_are_made_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(pieces, "MADE", 10)
+    asked = []
+
+    def make(parts: list[str]) -> list[bytes]:
+        asked.append(len(parts))
+        return [part.encode() for part in parts]
+
+    text = " ".join(f"w{k}" for k in range(95))
+    assert made(pieces.CutColumns(make), [text]) == [text.encode()]
+    assert max(asked) == 10 and sum(asked) == 95
+
+
 def test_punctuation_is_a_part_of_its_own():
     asked = []
 
