@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from .components import components, in_few_tasks
+from .components import in_few_tasks, stars
 from .words import mixed, pack48, shingle_set, unpack48, words_of
 from .worker import let_go
 
@@ -317,10 +317,12 @@ def _list_pairs(percent: int):
     return run
 
 
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of the open lists that can be links, in cells of bounded blocks."""
+def _open_pairs(rows: DataFrame, total: int, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of the open lists (``total`` rows at most) that can be links, in cells of bounded blocks."""
     blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    placed = rows.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("class", F.lit(77)), F.col("blocks")).cast("int"))
+    sketched = in_few_tasks(rows.join(sets.select("class", "alone", "sketch"), "class"), total)
+    placed = in_few_tasks(sketched.join(blocks, "token"), total)
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("class", F.lit(77)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = placed.withColumn("other", other).select(
         "token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
@@ -345,17 +347,20 @@ def _may_link(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, sketched: bool) -> DataFrame:
-    """The linked pairs (a, b); ``sketched`` tells that sketches have been compared."""
+def _verified(pairs: DataFrame, most: int, sets: DataFrame, percent: int, sketched: bool) -> DataFrame:
+    """The linked pairs (a, b) of ``pairs``, which has ``most`` rows at most; ``sketched`` tells that sketches
+    have been compared."""
 
     def sides(frame: DataFrame, column: str) -> DataFrame:
         left = sets.select(F.col("class").alias("a"), "n", "alone", column)
         right = sets.select(
             F.col("class").alias("b"), F.col("n").alias("n2"), F.col("alone").alias("alone2"), F.col(column).alias(f"{column}2")
         )
-        return frame.join(left, "a").join(right, "b")
+        return in_few_tasks(frame.join(left, "a"), most).join(right, "b")
 
-    near = written(pairs if sketched else sides(pairs, "sketch").mapInArrow(_may_link(percent), "a long, b long"), "near-pairs")
+    if not sketched:
+        pairs = in_few_tasks(sides(pairs, "sketch"), most).mapInArrow(_may_link(percent), "a long, b long")
+    near = written(pairs, "near-pairs")
     checked = sides(near, "tokens").mapInArrow(_verify(percent), "a long, b long, linked boolean")
     return written(checked.where("linked").select("a", "b"), "links")
 
@@ -380,27 +385,30 @@ def _possible(percent: int) -> F.Column:
 
 
 def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of the sets that verified links connect; no link between components is lost."""
+    """(node, label) of the sets that verified links connect to a smaller one, the smallest of all; no link
+    between components is lost. Tables of a round are small where lists are, so steps take the tasks that
+    their rows are worth: what each task tells the driver would outweigh its rows."""
     spark = sets.sparkSession
     postings = _one_list_of_each(postings)
     total = postings.count()
-    labels = spark.createDataFrame([], "node long, label long")
+    labels, linked = spark.createDataFrame([], "node long, label long"), 0
     useful = True
     for turn in range(STAR_ROUNDS + 1):
-        rows = postings.join(labels, F.col("class") == F.col("node"), "left").select(
+        rows = in_few_tasks(postings.join(labels, F.col("class") == F.col("node"), "left").select(
             "token", "class", "n", "place", F.coalesce("label", "class").alias("label")
-        )
+        ), total)
         lists = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         rows = written(in_few_tasks(rows.join(lists.select("token"), "token"), total), "open-postings")
-        by_label = rows.groupBy("token", "label").count().groupBy("token").agg(
+        by_label = in_few_tasks(rows.groupBy("token", "label").count(), total).groupBy("token").agg(
             (F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("crossing")
         )
-        crossing = (by_label.agg(F.sum("crossing")).first()[0] or 0) // 2
+        crossing = (in_few_tasks(by_label, total).agg(F.sum("crossing")).first()[0] or 0) // 2
         if not crossing:
             break
         last = crossing <= total or not useful or turn == STAR_ROUNDS
+        most = crossing if last else HEADS * total  # pairs of this round
         if last:
-            pairs = _open_pairs(rows.join(sets.select("class", "alone", "sketch"), "class"), percent)
+            pairs = _open_pairs(rows, total, sets, percent)
         else:
             chance = F.xxhash64("class", F.lit(turn))
             first = rows.groupBy("token", F.pmod(chance, F.lit(HEADS)).alias("slot")).agg(
@@ -409,15 +417,18 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 "token", F.col("head.class").alias("c2"), F.col("head.n").alias("n2"),
                 F.col("head.place").alias("place2"), F.col("head.label").alias("l2"),
             )
-            pairs = rows.join(first, "token").where((F.col("label") != F.col("l2")) & _possible(percent)).select(
+            pairs = in_few_tasks(rows.join(in_few_tasks(first, total), "token"), most)
+            pairs = pairs.where((F.col("label") != F.col("l2")) & _possible(percent)).select(
                 F.least("class", "c2").alias("a"), F.greatest("class", "c2").alias("b")
             ).distinct()
-        found = _verified(pairs, sets, percent, sketched=last)
+        found = _verified(in_few_tasks(pairs, most), most, sets, percent, sketched=last)
+        new = found.count()
         # what is connected already enters as one pair a set, so that rounds do not add up in the plan
-        labels = components(found.unionByName(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        pairs, linked = stars(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), new + linked)
+        labels = pairs.select(F.col("u").alias("node"), F.col("v").alias("label"))
         if last:
             break
-        useful = found.count() * USEFUL > total
+        useful = new * USEFUL > total
     return labels
 
 
@@ -432,7 +443,7 @@ def similarity_classes(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), row_key(docs, text, doc_id).alias("key")
     )
     sized = written(source.mapInArrow(_sizes(width), "doc_id long, key long, n long, class long"), "set-sizes")
-    total = sized.agg(F.sum("n")).first()[0] or 0
+    total, texts = sized.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bits = max(4, (total // BUCKET_TOKENS).bit_length())
     parts = 1 << bits
     shared = (
@@ -450,9 +461,9 @@ def similarity_classes(
     )
     postings = written(sets.mapInArrow(_postings(percent), "token long, class long, n long, place long, df long"), "postings")
     labels = _links(postings, sets, percent)
-    group = classes.join(labels, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
+    group = in_few_tasks(classes.join(labels, F.col("class") == F.col("node"), "left"), texts).withColumn("label", F.coalesce("label", "class"))
     leaders = group.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("first").alias("first"))
-    named = group.select("class", "label").join(leaders, "label").select("class", "component_id", "first")
+    named = in_few_tasks(group.select("class", "label").join(leaders, "label"), texts).select("class", "component_id", "first")
     worded = F.col("n") > 0
     return sized.join(named, "class", "left").select(
         "doc_id", "key", F.col("n").alias("n_shingles"),
